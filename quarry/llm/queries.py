@@ -55,9 +55,31 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import exact_dedup
+
+    return exact_dedup.assign(table(spark, sf_dir, "documents"))
+
+
+SQL: dict[str, str] = {}
+
+SQL["op7_exact_dedup"] = """
+WITH n AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents)
+SELECT doc_id,
+       max(doc_id) OVER g AS keep_id,
+       count(*) OVER g AS group_size,
+       doc_id = max(doc_id) OVER g AS kept,
+       sha256(t) AS text_sha256
+FROM n
+WINDOW g AS (PARTITION BY t)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
