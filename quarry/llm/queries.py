@@ -42,6 +42,12 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import simhash
+
+    return simhash.assign(table(spark, sf_dir, "documents"), words=3, budget=2)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm import token_counts
 
