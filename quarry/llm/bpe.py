@@ -7,7 +7,8 @@ with the highest score, leftmost first, which is the merge of the lowest rank, s
 into pre-tokens by the split pattern, and each pre-token is encoded separately.  Decoding maps ids back to bytes.
 
 Work is per row: no shuffle.  The model (about 1 MB, fixed by the vocabulary) is broadcast.  Each Python worker keeps
-the ids of pre-tokens seen before, in a table of bounded size.
+the ids of pre-tokens seen before in two tables of bounded size: a full young table becomes the old one, so that common
+pre-tokens stay.
 
 Defined cases: a null text encodes as the empty text (no ids, empty bytes); a null id list decodes to empty bytes, and
 null ids within a list to nothing; equal rows and ties need no rule; an empty table gives an empty table; other
@@ -28,10 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Ids of so many distinct pre-tokens are kept by a worker; then the table starts anew.
-KNOWN_PRETOKENS = 300_000
+#: Distinct pre-tokens in each of a worker's two tables.
+KNOWN_PRETOKENS = 120_000
 #: Longer pre-tokens are encoded each time they occur.
 KNOWN_LENGTH = 64
+#: Rows that are handled together.
+ROWS_AT_ONCE = 512
 
 
 def byte_alphabet() -> list[str]:
@@ -89,27 +92,34 @@ class Encoder:
         self.whole = {t: i for i, t in enumerate(tokens)}
         self.letters = {b: c for b, c in enumerate(byte_alphabet())}
         self.split = regex.compile(pattern).findall
-        self.known: dict[str, list[int]] = {}
+        self.young: dict[str, list[int]] = {}
+        self.old: dict[str, list[int]] = {}
 
     def _encode(self, pretokens: list[str]) -> list[list[int]]:
         raw = [p.encode() for p in pretokens]
-        ids = self.model.encode([r.decode("latin-1").translate(self.letters) for r in raw], num_threads=1)
-        return [[self.whole[r]] if r in self.whole else i for r, i in zip(raw, ids, strict=True)]
-
-    def learn(self, pretokens: set[str]) -> None:
-        new = [p for p in pretokens if p not in self.known]
-        self.known.update(zip(new, self._encode(new), strict=True))
+        ids = [[self.whole[r]] if r in self.whole else None for r in raw]
+        rest = [i for i, found in enumerate(ids) if found is None]
+        merged = self.model.encode([raw[i].decode("latin-1").translate(self.letters) for i in rest], num_threads=1) if rest else []
+        for i, found in zip(rest, merged, strict=True):
+            ids[i] = found
+        return ids
 
     def encode(self, text: str) -> list[int]:
         pieces = self.split(text)
-        distinct = set(pieces)
-        if len(self.known) + len(distinct) > KNOWN_PRETOKENS:
-            self.known.clear()
-        self.learn(distinct)
-        ids = list(chain.from_iterable(map(self.known.__getitem__, pieces)))
-        for p in distinct:
+        young, old = self.young, self.old
+        new = []
+        for p in set(pieces).difference(young):
+            if p in old:
+                young[p] = old[p]
+            else:
+                new.append(p)
+        young.update(zip(new, self._encode(new), strict=True))
+        ids = list(chain.from_iterable(map(young.__getitem__, pieces)))
+        for p in new:
             if len(p) > KNOWN_LENGTH:
-                del self.known[p]
+                del young[p]
+        if len(young) > KNOWN_PRETOKENS:
+            self.young, self.old = {}, young
         return ids
 
 
@@ -130,47 +140,81 @@ def _append(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*df.schema.fields, T.StructField(name, kind)])
 
 
+def _shared(df: DataFrame, ranks_path: str):
+    ranks = read_ranks(ranks_path)
+    return df.sparkSession.sparkContext.broadcast((serialize_model(ranks), sorted(ranks, key=ranks.__getitem__)))
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+
+
+def _encoded(texts: pa.Array, encoder: Encoder) -> pa.ListArray:
+    offsets, flat = [0], []
+    for text in texts:
+        flat.append(np.array(encoder.encode(text.as_py() or ""), np.int32))
+        offsets.append(offsets[-1] + len(flat[-1]))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(flat or [np.empty(0, np.int32)])))
+
+
+def _decoded(lists: pa.ListArray, table: pa.Array, sizes: np.ndarray) -> pa.Array:
+    """Gathers the bytes of all ids at once; the values of the gathered array are the decoded texts, end to end."""
+    flat = lists.flatten()
+    lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    have = np.asarray(flat.is_valid())
+    ids = flat.fill_null(0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(np.where(have, sizes[ids], 0))])[np.concatenate([[0], np.cumsum(lengths)])]
+    raw = table.take(pa.array(ids[have])).buffers()[2] or pa.py_buffer(b"")
+    return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends.astype(np.int32)), raw])
+
+
+def _token_table(tokens: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    return pa.array(tokens, pa.binary()), np.array([len(t) for t in tokens], np.int64)
+
+
 def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """Appends ``ids_col`` (array of int): the tokens of each whole text."""
-    ranks = read_ranks(ranks_path)
-    tokens = sorted(ranks, key=ranks.__getitem__)
-    shared = df.sparkSession.sparkContext.broadcast((serialize_model(ranks), tokens))
+    shared, at = _shared(df, ranks_path), df.columns.index(text_col)
     schema = _append(df, ids_col, T.ArrayType(T.IntegerType(), False))
-    at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(*shared.value, pattern)
-        for batch in batches:
-            offsets, flat = [0], []
-            for text in batch.column(at):
-                flat.append(np.array(encoder.encode(text.as_py() or ""), np.int32))
-                offsets.append(offsets[-1] + len(flat[-1]))
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(flat or [np.empty(0, np.int32)])))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, ids_col])
+        for batch in _slices(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns, _encoded(batch.column(at), encoder)], names=[*batch.schema.names, ids_col])
 
     return df.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """Appends ``bytes_col`` (binary): the bytes that the ids stand for."""
-    ranks = read_ranks(ranks_path)
-    shared = df.sparkSession.sparkContext.broadcast(sorted(ranks, key=ranks.__getitem__))
+    shared, at = _shared(df, ranks_path), df.columns.index(ids_col)
     schema = _append(df, bytes_col, T.BinaryType())
-    at = df.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.array(shared.value, pa.binary())
-        sizes = np.array([len(t) for t in shared.value], np.int64)
-        for batch in batches:
-            column = batch.column(at)
-            flat = column.flatten()
-            lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            have = np.asarray(flat.is_valid())
-            ids = flat.fill_null(0).to_numpy(zero_copy_only=False)
-            ends = np.concatenate([[0], np.cumsum(np.where(have, sizes[ids], 0))])[np.concatenate([[0], np.cumsum(lengths)])]
-            raw = table.take(pa.array(ids[have])).buffers()[2] or pa.py_buffer(b"")
-            done = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(ends.astype(np.int32)), raw])
-            yield pa.RecordBatch.from_arrays([*batch.columns, done], names=[*batch.schema.names, bytes_col])
+        tokens = _token_table(shared.value[1])
+        for batch in _slices(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns, _decoded(batch.column(at), *tokens)], names=[*batch.schema.names, bytes_col])
+
+    return df.mapInArrow(run, schema)
+
+
+def round_trip(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
+    """Encodes, then decodes the ids, in one pass: ``text_col`` gives way to ``ids_col`` and ``bytes_col``."""
+    shared, at = _shared(df, ranks_path), df.columns.index(text_col)
+    rest = df.drop(text_col)
+    if {ids_col.lower(), bytes_col.lower()} & {c.lower() for c in rest.columns}:
+        raise ValueError(f"there is a column {ids_col!r} or {bytes_col!r} already")
+    schema = T.StructType([*rest.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False)), T.StructField(bytes_col, T.BinaryType())])
+    kept = [i for i in range(len(df.columns)) if i != at]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(*shared.value, pattern)
+        tokens = _token_table(shared.value[1])
+        for batch in _slices(batches):
+            ids = _encoded(batch.column(at), encoder)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), ids, _decoded(ids, *tokens)], names=schema.names)
 
     return df.mapInArrow(run, schema)
 

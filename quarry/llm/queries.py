@@ -32,9 +32,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm import bpe
 
-    ranks = tokenizer_path("byte_bpe_50k.tiktoken")
-    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, split_pattern()).select("doc_id", "ids")
-    return bpe.decode(ids, ranks).select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.round_trip(docs, tokenizer_path("byte_bpe_50k.tiktoken"), split_pattern()).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         bpe.ids_digest("ids").alias("ids_sha256"),
