@@ -41,6 +41,19 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import pii
+
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii")
+    spans = F.col("pii")
+    return found.select(
+        "doc_id",
+        *(pii.count(spans, kind).alias(f"n_{kind}") for kind in ("email", "ip", "card", "phone")),
+        F.sha2(pii.listing(spans, base_only=True).cast("binary"), 256).alias("base_sha256"),
+        pii.listing(spans).alias("spans"),
+    )
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm import simhash
 
