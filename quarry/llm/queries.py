@@ -79,6 +79,14 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.grade(docs, model).drop("text")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm import mixing
 
