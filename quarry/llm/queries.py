@@ -60,6 +60,21 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.assign(table(spark, sf_dir, "documents"), words=3, budget=2)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import scratch, warc
+
+    path = scratch.new_path(spark, "warc")
+    warc.archive(table(spark, sf_dir, "pages"), path, min_bytes=0)
+    page = lambda urn: F.expr(f"try_cast(regexp_extract({urn}, '([0-9-]+)>$', 1) as bigint)")
+    return warc.read(spark, path).select(
+        page("record_id").alias("page_id"),
+        F.coalesce(F.length("payload"), "payload_length").cast("long").alias("payload_bytes"),
+        F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"),
+        "record_type",
+        page("refers_to").alias("refers_to"),
+    )
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm import token_counts
 
