@@ -94,6 +94,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(table(spark, sf_dir, "documents"))
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import vamana
+
+    return vamana.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm import quality
 
