@@ -88,6 +88,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import suffix_dedup
+
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"), width=200, keep_first=False)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm import exact_dedup
 
