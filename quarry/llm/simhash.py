@@ -217,3 +217,122 @@ def assign(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     components, _ = connected_components(links(known, budget))
     named = classes.df.join(components, F.col("node") == F.col("vertex"), "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return marked.df.join(named, "fp").select(F.col("id").alias(id_col), _hex("fp").alias("fingerprint"), "component_id")
+
+
+# --- pairs of a wider distance ---------------------------------------------------------------------------------------
+#
+# Texts whose five-word shingles overlap by 0.8 differ in some 15 % of their fingerprint bits, about ten of 64: too many
+# for blocks that must stay equal.  So fingerprints are wider (``WIDE`` words of 64 bits, which also tell the overlap more
+# sharply), and there are several tries, each over the bits in another order.  Texts that agree in the first bits of an
+# order meet in one task, which joins their trie over the rest.  The number of tries follows from the wanted recall.
+
+WIDE = 4
+#: Wanted chance that a pair at the threshold meets in a trie.
+RECALL = 0.97
+
+
+def flip_chance(similarity: float) -> float:
+    """Chance that a bit differs between texts whose shingle sets have this Jaccard similarity."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
+    """Another hash of the same shingles, by a 64-bit finaliser; word 0 is the hash itself."""
+    if not word:
+        return hashes
+    h = hashes + np.uint64(0x9E3779B97F4A7C15 * word & (1 << 64) - 1)
+    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(31)
+
+
+def wide_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+    """(id, fp): fp is a binary of ``WIDE`` 64-bit fingerprints."""
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = []
+            for text in batch.column(1):
+                hashes = shingle_hashes(text.as_py(), words)
+                fps.append(b"".join(fingerprint(_mixed(hashes, w)).to_bytes(8, "little") for w in range(WIDE)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary())], names=["id", "fp"])
+
+    return docs.mapInArrow(run, "id long, fp binary")
+
+
+def _orders(prefix: int, similarity: float) -> list[np.ndarray]:
+    """For each trie: the bits of its prefix, and then those of its word, as places among all bits."""
+    meet = (1 - flip_chance(similarity)) ** prefix
+    tries = int(np.ceil(np.log(1 - RECALL) / np.log(1 - meet)))
+    random = np.random.default_rng(5)
+    return [random.permutation(WIDE * BITS)[: prefix + BITS] for _ in range(tries)]
+
+
+def wide_links(classes: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """classes (node, fp binary), one row per fingerprint.  Spanning links (a, b) between nodes whose fingerprints tell
+    a similarity of at least ``similarity``."""
+    budget = int(WIDE * BITS * flip_chance(similarity))
+    chance = flip_chance(similarity)
+    word_budget = int(BITS * chance + 3 * np.sqrt(BITS * chance * (1 - chance)))
+    prefix = int(np.clip(np.ceil(np.log2(max(classes.count(), 2))) - 2, 4, 40))
+    orders = _orders(prefix, similarity)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 2048):
+                node, fp = batch.slice(at, 2048).columns
+                raw = np.frombuffer(b"".join(fp.to_pylist()), np.uint8).reshape(len(fp), -1)
+                bits = np.unpackbits(raw, axis=1, bitorder="little").astype(np.uint64)
+                for i, order in enumerate(orders):
+                    head, word = np.zeros(len(fp), np.uint64), np.zeros(len(fp), np.uint64)
+                    for b in order[:prefix]:
+                        head = head << np.uint64(1) | bits[:, b]
+                    for b in order[prefix:]:
+                        word = word << np.uint64(1) | bits[:, b]
+                    columns = [pa.array(np.full(len(fp), i, np.int32)), pa.array(head.view(np.int64)), pa.array(word.view(np.int64)), node, fp]
+                    yield pa.RecordBatch.from_arrays(columns, names=["trie", "head", "word", "node", "fp"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [b for b in batches if len(b)]
+        if not found:
+            return
+        rows = pa.Table.from_batches(found)
+        trie, head, word, node = (rows.column(i).to_numpy() for i in range(4))
+        whole = np.frombuffer(b"".join(rows.column(4).to_pylist()), "<u8").reshape(-1, WIDE)
+        word = word.view(np.uint64)
+        order = np.lexsort((word, head, trie))
+        trie, head, word, node, whole = trie[order], head[order], word[order], node[order], whole[order]
+        family = np.cumsum(np.concatenate([[0], (np.diff(trie) != 0) | (np.diff(head) != 0)]))
+        check = lambda a, b: np.bitwise_count(whole[a] ^ whole[b]).sum(axis=1) <= budget
+        # rows of a family with equal words stand on one leaf: its first row stands for them in the trie, and the others
+        # are held against it and against the row before them
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(family) != 0) | (word[1:] != word[:-1])]))
+        on_leaf = np.repeat(first, np.diff(np.append(first, len(word))))
+        forest = trie_self_join(word[first], family[first], BITS, word_budget, lambda a, b: check(first[a], first[b]))
+        a, b = first, first[forest.roots()]
+        rest = np.flatnonzero(on_leaf != np.arange(len(word)))
+        for other in (on_leaf[rest], rest - 1):
+            near = check(rest, other)
+            a, b = np.concatenate([a, rest[near]]), np.concatenate([b, other[near]])
+        apart = a != b
+        yield pa.RecordBatch.from_arrays([pa.array(node[a[apart]]), pa.array(node[b[apart]])], names=["a", "b"])
+
+    dealt = classes.mapInArrow(spread, "trie int, head long, word long, node long, fp binary")
+    return dealt.repartition("trie", "head").mapInArrow(join, "a long, b long").distinct()
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component) of the documents that are near duplicates of one with a smaller id, which is the component."""
+    marked = scratch.materialize(wide_fingerprints(df, id_col, text_col, words), "wide-fingerprints")
+    classes = scratch.materialize(marked.df.groupBy("fp").agg(F.min("id").alias("node")).select("node", "fp"), "wide-classes")
+    components, _ = connected_components(wide_links(classes.df, similarity))
+    named = classes.df.join(components, F.col("node") == F.col("vertex"), "left").select("fp", F.coalesce("component", "node").alias("component"))
+    return marked.df.join(named, "fp").where("id != component").select("id", "component")
+
+
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``df`` without near duplicates: of each group the document with the smallest id stays.  Rows that share
+    an id stay or go together, and rows without an id stay."""
+    gone = near_duplicates(df, id_col, text_col, words, similarity).select(F.col("id").alias("__gone")).distinct()
+    return df.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
