@@ -34,7 +34,7 @@ KNOWN_PRETOKENS = 120_000
 #: Longer pre-tokens are encoded each time they occur.
 KNOWN_LENGTH = 64
 #: Rows that are handled together.
-ROWS_AT_ONCE = 512
+ROWS_AT_ONCE = 128
 
 
 def byte_alphabet() -> list[str]:
@@ -81,6 +81,22 @@ def serialize_model(ranks: dict[bytes, int]) -> bytes:
     return b"".join(pieces) + unknown + _field(2, trainer) + _field(3, normalizer)
 
 
+class Known(dict):
+    """Ids by pre-token.  A new pre-token gets an empty list at once, which is filled when its batch is encoded."""
+
+    def __init__(self, old: dict[str, list[int]]):
+        self.old, self.pending = old, []
+
+    def __missing__(self, pretoken: str) -> list[int]:
+        if pretoken in self.old:
+            ids = self.old[pretoken]
+        else:
+            ids = []
+            self.pending.append(pretoken)
+        self[pretoken] = ids
+        return ids
+
+
 class Encoder:
     """Ids of texts.  ``model`` is a serialised sentencepiece model, ``ranks`` the ids of whole tokens."""
 
@@ -92,8 +108,7 @@ class Encoder:
         self.whole = {t: i for i, t in enumerate(tokens)}
         self.letters = {b: c for b, c in enumerate(byte_alphabet())}
         self.split = regex.compile(pattern).findall
-        self.young: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
+        self.known = Known({})
 
     def _encode(self, pretokens: list[str]) -> list[list[int]]:
         raw = [p.encode() for p in pretokens]
@@ -104,23 +119,18 @@ class Encoder:
             ids[i] = found
         return ids
 
-    def encode(self, text: str) -> list[int]:
-        pieces = self.split(text)
-        young, old = self.young, self.old
-        new = []
-        for p in set(pieces).difference(young):
-            if p in old:
-                young[p] = old[p]
-            else:
-                new.append(p)
-        young.update(zip(new, self._encode(new), strict=True))
-        ids = list(chain.from_iterable(map(young.__getitem__, pieces)))
-        for p in new:
-            if len(p) > KNOWN_LENGTH:
-                del young[p]
-        if len(young) > KNOWN_PRETOKENS:
-            self.young, self.old = {}, young
-        return ids
+    def encode_all(self, texts: list[str]) -> list[list[list[int]]]:
+        """For each text, the ids of its pre-tokens."""
+        known = self.known
+        out = [list(map(known.__getitem__, self.split(text))) for text in texts]
+        for pretoken, ids in zip(known.pending, self._encode(known.pending), strict=True):
+            known[pretoken].extend(ids)
+            if len(pretoken) > KNOWN_LENGTH:
+                del known[pretoken]
+        known.pending.clear()
+        if len(known) > KNOWN_PRETOKENS:
+            self.known = Known(dict(known))
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -152,11 +162,10 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _encoded(texts: pa.Array, encoder: Encoder) -> pa.ListArray:
-    offsets, flat = [0], []
-    for text in texts:
-        flat.append(np.array(encoder.encode(text.as_py() or ""), np.int32))
-        offsets.append(offsets[-1] + len(flat[-1]))
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(flat or [np.empty(0, np.int32)])))
+    ids = encoder.encode_all([t or "" for t in texts.to_pylist()])
+    offsets = np.cumsum([0, *(sum(map(len, pieces)) for pieces in ids)], dtype=np.int32)
+    flat = np.fromiter(chain.from_iterable(chain.from_iterable(ids)), np.int32, int(offsets[-1]))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
 def _decoded(lists: pa.ListArray, table: pa.Array, sizes: np.ndarray) -> pa.Array:
