@@ -96,13 +96,13 @@ KINDS = (
     ),
     Kind(
         "iban",
-        r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+\b",
+        r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b",
         0.6, lambda m: F.length(F.regexp_replace(m, " ", "")).between(15, 34) & mod97(m), "iban|bank|account|konto|cuenta|compte",
     ),
     Kind(
         "ssn",
-        r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
-        0.2, None, r"\bssn\b|social security", False, ("-",),
+        r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+        0.2, lambda m: ~m.rlike("^(?:000|666|9)|-00-|-0000"), r"\bssn\b|social security", False, ("-",),
     ),
 )
 
