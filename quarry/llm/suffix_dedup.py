@@ -293,19 +293,22 @@ def removed_intervals(docs: DataFrame, width: int = WIDTH, keep_first: bool = Fa
 
     schema = "did long, th int, start int, n int, key long, content long"
     found = scratch.materialize(docs.select("did", "th", "text").mapInArrow(find, schema), "places")
-    keys = found.df.groupBy("key").agg(F.count(F.lit(1)).alias("places")).where("places > 1")
-    repeated = scratch.materialize(found.df.join(keys, "key"), "repeated-places")
+    # written by itself, so that both sides of the join are plain shuffles whose hot partitions can be split
+    keys = scratch.materialize(found.df.groupBy("key").agg(F.count(F.lit(1)).alias("places")).where("places > 1"), "repeated-keys")
+    repeated = scratch.materialize(found.df.join(keys.df, "key"), "repeated-places")
     found.drop()
+    keys.drop()
     hot = repeated.df.where(F.col("places") > GROUP)
     first = F.min(F.struct("did", "th", "start")).alias("first")
-    contents = hot.groupBy("key", "content").agg(F.count(F.lit(1)).alias("copies"), first)
+    contents = scratch.materialize(hot.groupBy("key", "content").agg(F.count(F.lit(1)).alias("copies"), first), "hot-contents")
     is_first = F.struct("did", "th", "start") == F.col("first")
     kind = F.when(F.col("copies") == 1, STRINGS).when(is_first, STRINGS if keep_first else WHOLE_AND_STRINGS).otherwise(WHOLE)
-    marked = hot.join(contents, ["key", "content"]).select("did", "th", "start", "n", "key", kind.alias("kind"))
+    marked = hot.join(contents.df, ["key", "content"]).select("did", "th", "start", "n", "key", kind.alias("kind"))
     cold = repeated.df.where(F.col("places") <= GROUP).select("did", "th", "start", "n", "key", F.lit(COLD).alias("kind"))
     lists = cold.union(marked).groupBy("did", "th").agg(F.collect_list(F.struct("start", "n", "key", "kind")).alias("places"))
     with_places = scratch.materialize(docs.select("did", "th", "text").join(lists, ["did", "th"]), "documents-with-places")
     repeated.drop()
+    contents.drop()
 
     def unpack(batch: pa.RecordBatch) -> Iterator[tuple]:
         for d, t, text, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -343,8 +346,9 @@ def removed_intervals(docs: DataFrame, width: int = WIDTH, keep_first: bool = Fa
     hot_docs = with_places.df.where(is_hot)
     parts.append(hot_docs.select("did", "th", "places").mapInArrow(wholes, _INTERVAL))
     single = scratch.materialize(hot_docs.mapInArrow(strings, "h1 long, h2 long, did long, th int, s int"), "hot-strings")
-    counted = single.df.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("did", "th", "s")).alias("first")).where("n > 1")
-    again = single.df.join(counted, ["h1", "h2"])
+    counts = (F.count(F.lit(1)).alias("n"), F.min(F.struct("did", "th", "s")).alias("first"))
+    counted = scratch.materialize(single.df.groupBy("h1", "h2").agg(*counts).where("n > 1"), "hot-repeated")
+    again = single.df.join(counted.df, ["h1", "h2"])
     if keep_first:
         again = again.where(F.struct("did", "th", "s") != F.col("first"))
     parts.append(again.select("did", "th", "s", (F.col("s") + width).alias("e")))
