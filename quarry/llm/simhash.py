@@ -12,8 +12,8 @@ once both nodes lie wholly in one component already.  A hot neighbourhood is spr
 differ from each other in few bits: a trie holds only those that agree in three whole blocks.  Each task emits a
 spanning forest of the links it finds, not the links, and components are then found over the whole corpus.
 
-With ``jaccard`` set, pairs within the budget are only candidates, and become links if their word shingles are at least
-that similar (see ``near_duplicates``).
+``near_duplicates`` works with longer shingles and a wider distance, where the tries only propose pairs, and keeps those
+whose shingle sets overlap enough.
 
 Defined cases: a null text or one without words has fingerprint zero and links like any other; texts shorter than a
 shingle count as one; rows with a null id take part and get the component of their class, null if no id is known in
@@ -118,12 +118,12 @@ class Forest:
             np.minimum.at(self.parent, a, b)
 
 
-def trie_self_join(words: np.ndarray, families: np.ndarray, depth: int, budget: int, check=None) -> Forest:
+def trie_self_join(words: np.ndarray, families: np.ndarray, depth: int, budget: int, leaf=Forest.join) -> Forest:
     """Joins sorted, distinct (family, word) rows within families.
 
     words: left-aligned suffixes of ``depth`` bits as unsigned numbers, sorted within each family.  A node is a range of
-    rows with the same leading bits; its pairs start with each family's root and itself.  check(a, b): of candidate
-    rows, those that link."""
+    rows with the same leading bits; its pairs start with each family's root and itself.  leaf(forest, a, b) gets the
+    pairs of rows within the budget and joins those that link."""
     n = len(words)
     forest = Forest(n)
     if not n:
@@ -148,11 +148,7 @@ def trie_self_join(words: np.ndarray, families: np.ndarray, depth: int, budget:
         alo, ahi, blo, bhi, bits = (p[~one] for p in (alo, ahi, blo, bhi, bits))
         if level == depth:
             ok = alo != blo
-            a, b = alo[ok], blo[ok]
-            if check is not None and len(a):
-                keep = check(a, b)
-                a, b = a[keep], b[keep]
-            forest.join(a, b)
+            leaf(forest, alo[ok], blo[ok])
             continue
         shift = np.uint64(depth - 1 - level)
         # ones: within a node the rows are sorted, so that a prefix sum of the bit finds where its ones start
@@ -225,6 +221,8 @@ def assign(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
 # for blocks that must stay equal.  So fingerprints are wider (``WIDE`` words of 64 bits, which also tell the overlap more
 # sharply), and there are several tries, each over the bits in another order.  Texts that agree in the first bits of an
 # order meet in one task, which joins their trie over the rest.  The number of tries follows from the wanted recall.
+# Every trie proposes a spanning forest of its close pairs, the closest first, and only pairs whose shingle sets are
+# at least as similar as asked become links.
 
 WIDE = 4
 #: Wanted chance that a pair at the threshold meets in a trie.
@@ -269,12 +267,29 @@ def _orders(prefix: int, similarity: float) -> list[np.ndarray]:
     return [random.permutation(WIDE * BITS)[: prefix + BITS] for _ in range(tries)]
 
 
-def wide_links(classes: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """classes (node, fp binary), one row per fingerprint.  Spanning links (a, b) between nodes whose fingerprints tell
-    a similarity of at least ``similarity``."""
-    budget = int(WIDE * BITS * flip_chance(similarity))
+def closest_links(forest: Forest, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Joins what the pairs connect and returns the links of a spanning forest: in each round, every component takes its
+    closest pair to another one."""
+    out_a, out_b = [], []
+    while len(a):
+        roots = forest.roots()
+        apart = roots[a] != roots[b]
+        a, b, far = a[apart], b[apart], far[apart]
+        own = np.concatenate([roots[a], roots[b]])
+        order = np.lexsort((np.concatenate([far, far]), own))
+        first = order[np.flatnonzero(np.diff(own[order], prepend=-1))] % max(len(a), 1)
+        chosen = np.unique(first) if len(a) else first
+        out_a.append(a[chosen])
+        out_b.append(b[chosen])
+        forest.join(a[chosen], b[chosen])
+    return np.concatenate([*out_a, np.empty(0, np.int64)]), np.concatenate([*out_b, np.empty(0, np.int64)])
+
+
+def wide_pairs(classes: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """classes (node, fp binary), one row per fingerprint.  Pairs (a, b) of nodes that may be similar enough."""
     chance = flip_chance(similarity)
-    word_budget = int(BITS * chance + 3 * np.sqrt(BITS * chance * (1 - chance)))
+    # three standard deviations above what is expected at the threshold
+    budget, word_budget = (int(n * chance + 3 * np.sqrt(n * chance * (1 - chance))) for n in (WIDE * BITS, BITS))
     prefix = int(np.clip(np.ceil(np.log2(max(classes.count(), 2))) - 2, 4, 40))
     orders = _orders(prefix, similarity)
 
@@ -304,29 +319,54 @@ def wide_links(classes: DataFrame, similarity: float = 0.8) -> DataFrame:
         order = np.lexsort((word, head, trie))
         trie, head, word, node, whole = trie[order], head[order], word[order], node[order], whole[order]
         family = np.cumsum(np.concatenate([[0], (np.diff(trie) != 0) | (np.diff(head) != 0)]))
-        check = lambda a, b: np.bitwise_count(whole[a] ^ whole[b]).sum(axis=1) <= budget
+        far = lambda a, b: np.bitwise_count(whole[a] ^ whole[b]).sum(axis=1)
         # rows of a family with equal words stand on one leaf: its first row stands for them in the trie, and the others
         # are held against it and against the row before them
         first = np.flatnonzero(np.concatenate([[True], (np.diff(family) != 0) | (word[1:] != word[:-1])]))
         on_leaf = np.repeat(first, np.diff(np.append(first, len(word))))
-        forest = trie_self_join(word[first], family[first], BITS, word_budget, lambda a, b: check(first[a], first[b]))
-        a, b = first, first[forest.roots()]
         rest = np.flatnonzero(on_leaf != np.arange(len(word)))
-        for other in (on_leaf[rest], rest - 1):
-            near = check(rest, other)
-            a, b = np.concatenate([a, rest[near]]), np.concatenate([b, other[near]])
-        apart = a != b
-        yield pa.RecordBatch.from_arrays([pa.array(node[a[apart]]), pa.array(node[b[apart]])], names=["a", "b"])
+        found_a, found_b = [rest, rest], [on_leaf[rest], rest - 1]
+
+        def leaf(forest: Forest, a: np.ndarray, b: np.ndarray) -> None:
+            d = far(first[a], first[b])
+            near = d <= budget
+            a, b = closest_links(forest, a[near], b[near], d[near])
+            found_a.append(first[a])
+            found_b.append(first[b])
+
+        trie_self_join(word[first], family[first], BITS, word_budget, leaf)
+        a, b = np.concatenate(found_a), np.concatenate(found_b)
+        keep = (a != b) & (far(a, b) <= budget)
+        a, b = node[a[keep]], node[b[keep]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     dealt = classes.mapInArrow(spread, "trie int, head long, word long, node long, fp binary")
     return dealt.repartition("trie", "head").mapInArrow(join, "a long, b long").distinct()
 
 
+def similar_pairs(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+    """Of pairs (a, b) of ids, those whose sets of shingles have this Jaccard similarity at least."""
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    docs = df.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(asked, "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    sets = scratch.materialize(docs.select("node", "text").mapInArrow(run, "node long, shingles array<long>"), "shingle-sets")
+    one, two = (sets.df.select(F.col("node").alias(n), F.col("shingles").alias(f"s{n}")) for n in ("a", "b"))
+    shared = F.size(F.array_intersect("sa", "sb"))
+    overlap = shared / F.greatest(F.size("sa") + F.size("sb") - shared, F.lit(1))
+    return pairs.join(one, "a").join(two, "b").where(overlap >= similarity).select("a", "b")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, component) of the documents that are near duplicates of one with a smaller id, which is the component."""
     marked = scratch.materialize(wide_fingerprints(df, id_col, text_col, words), "wide-fingerprints")
     classes = scratch.materialize(marked.df.groupBy("fp").agg(F.min("id").alias("node")).select("node", "fp"), "wide-classes")
-    components, _ = connected_components(wide_links(classes.df, similarity))
+    pairs = scratch.materialize(wide_pairs(classes.df, similarity), "wide-pairs")
+    components, _ = connected_components(similar_pairs(pairs.df, df, id_col, text_col, words, similarity))
     named = classes.df.join(components, F.col("node") == F.col("vertex"), "left").select("fp", F.coalesce("component", "node").alias("component"))
     return marked.df.join(named, "fp").where("id != component").select("id", "component")
 
