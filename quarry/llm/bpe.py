@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.llm import scratch
+
 #: Distinct pre-tokens in each of a worker's two tables.
 KNOWN_PRETOKENS = 120_000
 #: Longer pre-tokens are encoded each time they occur.
@@ -151,6 +153,7 @@ def _append(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
 
 
 def _shared(df: DataFrame, ranks_path: str):
+    scratch.small_batches(df.sparkSession)
     ranks = read_ranks(ranks_path)
     return df.sparkSession.sparkContext.broadcast((serialize_model(ranks), sorted(ranks, key=ranks.__getitem__)))
 

@@ -97,6 +97,7 @@ class Directory:
 
 def write_segments(df: DataFrame, id_col: str, text_col: str, key_bits: int = 64) -> scratch.Table:
     """The documents, all columns, with row number, entry, key and digest."""
+    scratch.small_batches(df.sparkSession)
     if any(c.startswith("__seg_") for c in df.columns):
         raise ValueError("column names that start with __seg_ are reserved")
     names = [*df.columns, *(f.name for f in _ADDED)]

@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.llm import scratch
+
 FIT_DOCUMENTS = 4096
 HASH_BITS = 15
 NGRAMS = (2, 4)
@@ -178,6 +180,7 @@ def grade(df: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, text_col:
     schema = T.StructType([*df.schema.fields, *(T.StructField(n, k) for n, k in zip(RESULTS, kinds, strict=True))])
     if model is None:
         return df.select("*", *(F.lit(None).cast("double").alias(n) for n in RESULTS[:-1]), F.lit(True).alias("kept"))
+    scratch.small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text_col)
 

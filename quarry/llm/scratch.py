@@ -31,6 +31,18 @@ def _checkpoint_dir(spark: SparkSession) -> str | None:
     return found.get() if found.isDefined() else None
 
 
+#: Rows of texts that go to a Python worker at once; Spark's default of 10,000 is made for narrow rows.
+TEXT_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts travel in batches of ``TEXT_ROWS`` rows from now on, unless the session has a setting of its own.  A batch
+    is held several times on its way, so its size bounds the memory of executors and workers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(TEXT_ROWS))
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that nothing uses yet; it is removed when the driver ends."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"

@@ -67,6 +67,7 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """(id, fp): fp is the fingerprint as a signed long."""
+    scratch.small_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,6 +247,7 @@ def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
 
 def wide_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
     """(id, fp): fp is a binary of ``WIDE`` 64-bit fingerprints."""
+    scratch.small_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

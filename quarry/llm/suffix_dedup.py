@@ -283,6 +283,8 @@ def removed_intervals(docs: DataFrame, width: int = WIDTH, keep_first: bool = Fa
     """docs (did, th, text).  Intervals (did, th, s, e) to remove, which may overlap, and the table of the documents
     that have places with repeated keys."""
 
+    scratch.small_batches(docs.sparkSession)
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             did, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()

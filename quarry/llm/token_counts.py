@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from quarry.llm import scratch
+
 KNOWN_PRETOKENS = 500_000
 KNOWN_LENGTH = 64
 
@@ -90,6 +92,7 @@ def count_tokens(df: DataFrame, tokenizer_path: str, pattern: str, text_col: str
     """Appends ``out_col`` (long): the number of tokens of each whole text."""
     if out_col.lower() in (c.lower() for c in df.columns):
         raise ValueError(f"there is a column {out_col!r} already")
+    scratch.small_batches(df.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())
     at = df.columns.index(text_col)
