@@ -124,7 +124,8 @@ def mix(
     docs = df.select(F.col(id_col).alias("__mix_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.length(text_col).alias("__mix_length"), *carry)
     sizes = scratch.materialize(docs.withColumn("__mix_row", F.monotonically_increasing_id()), "mix-sizes")
     targets = scratch.materialize(source_targets(sizes.df, weights, share, limit), "mix-targets")
-    solved = multipliers(sizes.df, targets.df, limit).df.withColumnRenamed("source", "of")
+    # sums of doubles end in digits that depend on the order in which tasks finish; these are rounded away
+    solved = multipliers(sizes.df, targets.df, limit).df.withColumn("multiplier", F.round("multiplier", 9)).withColumnRenamed("source", "of")
     rate = F.coalesce(_rate(F.col("multiplier"), F.col("size"), F.col("mean"), limit), F.lit(limit))
     # 52 bits of a digest: the same number on any engine, cluster and partitioning
     digest = F.md5(F.concat_ws(":", F.coalesce(F.col("__mix_id").cast("string"), F.lit("null")), "size", "__mix_length").cast("binary"))
@@ -133,9 +134,10 @@ def mix(
     fraction = F.col("rate") - F.floor("rate")
     fine = 1 << 2 * BIN_BITS
     # priorities u / fraction run from 0 up; p / (1 + p) keeps their order and fits the bins
-    priority = uniform / fraction
+    priority = F.col("__mix_u") / fraction
     marked = scratch.materialize(
         rated.withColumn("whole", F.floor("rate"))
+        .withColumn("__mix_u", uniform)
         .withColumn("priority", F.when(fraction > 0, priority / (1 + priority)))
         .withColumn("bin", F.least(F.floor(F.col("priority") * fine), F.lit(fine - 1)))
         .withColumn("hi", F.shiftright("bin", BIN_BITS))
@@ -177,7 +179,7 @@ def mix(
     copies = F.col("whole") + F.col("extra")
     rounded = scratch.materialize(
         at_edge.unionByName(apart).select(
-            "__mix_id", "__mix_row", "source", "size", "source_size", "target", "rate", "extra", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *carry
+            "__mix_id", "__mix_row", "__mix_u", "source", "size", "source_size", "target", "rate", "extra", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *carry
         ),
         "mix-rounded",
     )
@@ -195,7 +197,7 @@ def _settle(rounded: DataFrame, limit: float) -> DataFrame:
         rounded.join(gaps, F.col("of").eqNullSafe(F.col("source")))
         .where(after < F.abs("gap"))
         .groupBy("source")
-        .agg(F.min(F.struct(after.alias("after"), F.col("__mix_row").alias("row"), F.signum("gap").cast("long").alias("change"))).alias("best"))
+        .agg(F.min(F.struct(after.alias("after"), F.col("__mix_u").alias("u"), F.col("__mix_row").alias("row"), F.signum("gap").cast("long").alias("change"))).alias("best"))
         .select(F.col("best.row").alias("__mix_row"), F.col("best.change").alias("change"))
     )
     change = F.coalesce("change", F.lit(0))

@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import json
 import struct
 import uuid
@@ -290,7 +291,7 @@ class WarcReader(DataSourceReader):
     def read(self, partition: Files) -> Iterator[tuple]:
         store, _ = _filesystem(self.path)
         for path in partition.paths:
-            with store.open_input_file(path) as f:
+            with store.open_input_file(path) as raw, io.BufferedReader(raw, 1 << 16) as f:
                 for record in records(f):
                     if self._passes(record.headers):
                         yield self._row(record)
