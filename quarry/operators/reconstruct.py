@@ -127,8 +127,8 @@ def _levels(patterns: list[Pattern]) -> list[list[Pattern]]:
     return out
 
 
-def reconstruct(recipe: Recipe, anchors: DataFrame, keep_row_id: bool = True) -> DataFrame:
-    """The table in schema order, with ``__row_id``.  The seed key is the first anchor column and the row id, so that
+def reconstruct(recipe: Recipe, anchors: DataFrame, keep_row_id: bool = True, nulls: bool = False) -> DataFrame:
+    """The table in schema order, with ``__row_id``.  With ``nulls``, drawn columns are null as often as in the original.  The seed key is the first anchor column and the row id, so that
     equal anchors don't make equal rows.  Columns without a pattern are copied if they are anchors, and null else."""
     spark: SparkSession = anchors.sparkSession
     profiles = {p.name: p for p in recipe.schema_columns}
@@ -169,6 +169,8 @@ def reconstruct(recipe: Recipe, anchors: DataFrame, keep_row_id: bool = True) ->
             else:
                 # the source was lost with a broken cycle: its buckets together
                 v = _conditional(F.col("__key"), p, profile, F.lit(None).cast("string"), "string")
+            if nulls and kind in (PatternType.DISTRIBUTION, PatternType.CONDITIONAL_DISTRIBUTION, PatternType.RANDOM_FORMAT) and profile.n_null:
+                v = F.when(random.uniform(F.col("__key"), p.column, "null") >= profile.null_ratio, v)
             made.append(v.alias(p.column))
         out = out.select("*", *made) if made else out
         for p, name, table in joins:

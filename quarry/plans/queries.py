@@ -436,6 +436,32 @@ def anchor_csv_bytes(spark, sf_dir):
     return table(spark, sf_dir, "supplier").agg(F.sum(F.octet_length(F.to_csv(F.struct("s_suppkey", "s_name"))) + 1).alias("csv_bytes"))
 
 
+@query(
+    """SELECT CAST(b AS INTEGER) AS base, CAST(sum(len(list_filter(d, lambda x: x = b))) AS BIGINT) AS n FROM (SELECT list_concat(list_transform(h, lambda c: CAST(('0x' || c) AS INTEGER) >> 2), list_transform(h, lambda c: CAST(('0x' || c) AS INTEGER) & 3)) AS d
+FROM (SELECT string_split(hex(encode(url)), '') AS h FROM pages)) CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS b) GROUP BY b"""
+)
+def fingerprint_bases(spark, sf_dir):
+    from quarry.sources.fingerprint import base_counts
+
+    return base_counts(table(spark, sf_dir, "pages"), F.col("url").cast("binary"))
+
+
+@query(all_of("SELECT '{0}' AS col, count(*) AS n_total, round(avg({0}), 5) AS mean, min({0}) AS lo, max({0}) AS hi FROM lineitem", MEASURES))
+def stream_moments(spark, sf_dir):
+    """The table as a stream, run to its end."""
+    import uuid
+
+    from quarry.streaming.profile import stream_moments as moments
+
+    static = table(spark, sf_dir, "lineitem")
+    stream = spark.readStream.schema(static.schema).parquet(f"{sf_dir}/lineitem.parquet*")
+    name = f"moments_{uuid.uuid4().hex}"
+    run = moments(stream, MEASURES).writeStream.format("memory").outputMode("complete").queryName(name).trigger(availableNow=True).start()
+    run.awaitTermination()
+    out = spark.table(name).select(F.col("column").alias("col"), "n_total", "mean", F.col("min").alias("lo"), F.col("max").alias("hi"))
+    return rounded(out, 5, "mean")
+
+
 # --- generators ----------------------------------------------------------------------------------------------------
 
 
