@@ -12,7 +12,7 @@ pre-tokens stay.
 
 Defined cases: a null text encodes as the empty text (no ids, empty bytes); a null id list decodes to empty bytes, and
 null ids within a list to nothing; equal rows and ties need no rule; an empty table gives an empty table; other
-columns pass through, and a column that already has the name of the result raises ``ValueError``.
+columns pass through, but for one that has the name of the result, which is replaced.
 """
 
 from __future__ import annotations
@@ -147,8 +147,6 @@ def _encoder(model: bytes, tokens: list[bytes], pattern: str) -> Encoder:
 
 
 def _append(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    if name.lower() in (c.lower() for c in df.columns):
-        raise ValueError(f"there is a column {name!r} already")
     return T.StructType([*df.schema.fields, T.StructField(name, kind)])
 
 
@@ -188,6 +186,7 @@ def _token_table(tokens: list[bytes]) -> tuple[pa.Array, np.ndarray]:
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """Appends ``ids_col`` (array of int): the tokens of each whole text."""
+    df = scratch.without(df, (ids_col,), (text_col,))
     shared, at = _shared(df, ranks_path), df.columns.index(text_col)
     schema = _append(df, ids_col, T.ArrayType(T.IntegerType(), False))
 
@@ -201,6 +200,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
 
 def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """Appends ``bytes_col`` (binary): the bytes that the ids stand for."""
+    df = scratch.without(df, (bytes_col,), (ids_col,))
     shared, at = _shared(df, ranks_path), df.columns.index(ids_col)
     schema = _append(df, bytes_col, T.BinaryType())
 
@@ -214,10 +214,9 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str
 
 def round_trip(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """Encodes, then decodes the ids, in one pass: ``text_col`` gives way to ``ids_col`` and ``bytes_col``."""
+    df = scratch.without(df, (ids_col, bytes_col), (text_col,))
     shared, at = _shared(df, ranks_path), df.columns.index(text_col)
     rest = df.drop(text_col)
-    if {ids_col.lower(), bytes_col.lower()} & {c.lower() for c in rest.columns}:
-        raise ValueError(f"there is a column {ids_col!r} or {bytes_col!r} already")
     schema = T.StructType([*rest.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False)), T.StructField(bytes_col, T.BinaryType())])
     kept = [i for i in range(len(df.columns)) if i != at]
 

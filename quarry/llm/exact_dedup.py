@@ -13,7 +13,7 @@ The owner holds one key's chain at a time; collisions are right by comparison, n
 
 Defined cases: a null text counts as empty; of equal texts the row with the largest id stays, null ids being the
 smallest; of rows that are equal in id and text one stays, the one with the largest row number; an empty table gives an
-empty table.  Other columns may have any name but those that start with ``__seg_``.
+empty table.  Other columns may have any name.
 """
 
 from __future__ import annotations
@@ -98,8 +98,6 @@ class Directory:
 def write_segments(df: DataFrame, id_col: str, text_col: str, key_bits: int = 64) -> scratch.Table:
     """The documents, all columns, with row number, entry, key and digest."""
     scratch.small_batches(df.sparkSession)
-    if any(c.startswith("__seg_") for c in df.columns):
-        raise ValueError("column names that start with __seg_ are reserved")
     names = [*df.columns, *(f.name for f in _ADDED)]
     text_at, id_at = df.columns.index(text_col), df.columns.index(id_col)
 
@@ -232,6 +230,8 @@ def assign(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_BYTES) -> DataFrame:
     """The rows of ``df`` that stay, with its columns."""
-    segments = write_segments(df, id_col, text_col)
-    resolved = _resolve(segments, id_col, text_col, capacity).select(F.col("entry").alias("__seg_entry"), F.col("keep_row").alias("__seg_row"))
-    return segments.df.join(resolved, ["__seg_entry", "__seg_row"]).select(*df.columns)
+    # positions instead of names, which are free to clash with those of the index
+    places = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    segments = write_segments(df.toDF(*places.values()), places[id_col], places[text_col])
+    resolved = _resolve(segments, places[id_col], places[text_col], capacity).select(F.col("entry").alias("__seg_entry"), F.col("keep_row").alias("__seg_row"))
+    return segments.df.join(resolved, ["__seg_entry", "__seg_row"]).select(*places.values()).toDF(*df.columns)

@@ -12,8 +12,8 @@ possessive quantifier or a look-behind in a pattern only saves repeated scans of
 
 Work is per row, without shuffles, and every document is handled alike.
 
-Defined cases: a null text has no spans; long texts are handled whole; other columns pass through, and one with the
-name of the result raises ``ValueError``; equal rows give equal results; an empty table gives an empty table.
+Defined cases: a null text has no spans; long texts are handled whole; other columns pass through, but for one
+with the name of the result, which is replaced; equal rows give equal results; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -138,8 +138,8 @@ def _spans(text: Column, kind: Kind, order: int) -> Column:
 
 def find(df: DataFrame, text_col: str = "text", out_col: str = "pii", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """Appends ``out_col``: an array of (start, order, end, kind, match, score), by start and then kind as listed."""
-    if out_col.lower() in (c.lower() for c in df.columns):
-        raise ValueError(f"there is a column {out_col!r} already")
+    if out_col.lower() == text_col.lower():
+        raise ValueError(f"{out_col!r} can't be read and replaced at once")
     text = F.coalesce(F.col(text_col), F.lit(""))
     kind_type = "array<struct<start:int,order:int,end:int,kind:string,match:string,score:double>>"
     found = []

@@ -13,8 +13,8 @@ model (``2 * 2**HASH_BITS`` numbers) is broadcast.
 
 Defined cases: a null text counts as empty, and an empty text has only the indicator; labels that are null, or whose
 document is missing, are left out; of several labels or documents of one id all take part; without any label, or with
-labels of one grade only, scores are null and every document is kept; other columns pass through, and a column with the
-name of a result raises ``ValueError``.
+labels of one grade only, scores are null and every document is kept; other columns pass through, but for
+those with the name of a result, which are replaced.
 """
 
 from __future__ import annotations
@@ -174,8 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def grade(df: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, text_col: str = "text", keep_from: float = KEEP_FROM) -> DataFrame:
     """Appends ``expected_grade``, ``p_at_least_1``, ``p_at_least_2`` and ``kept``."""
-    if {c.lower() for c in df.columns} & set(RESULTS):
-        raise ValueError(f"column names {RESULTS} are reserved")
+    df = scratch.without(df, RESULTS, (text_col,))
     kinds = [T.DoubleType()] * GRADES + [T.BooleanType()]
     schema = T.StructType([*df.schema.fields, *(T.StructField(n, k) for n, k in zip(RESULTS, kinds, strict=True))])
     if model is None:

@@ -43,6 +43,14 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(TEXT_ROWS))
 
 
+def without(df: DataFrame, results: tuple[str, ...], needed: tuple[str, ...]) -> DataFrame:
+    """``df`` without columns that have the name of a result, whatever its case; what is needed can't be one of them."""
+    taken = {r.lower() for r in results}
+    if clash := [c for c in needed if c.lower() in taken]:
+        raise ValueError(f"{clash} can't be read and replaced at once")
+    return df.select(*(c for c in df.columns if c.lower() not in taken)) if taken & {c.lower() for c in df.columns} else df
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that nothing uses yet; it is removed when the driver ends."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"

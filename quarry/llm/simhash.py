@@ -376,5 +376,5 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``df`` without near duplicates: of each group the document with the smallest id stays.  Rows that share
     an id stay or go together, and rows without an id stay."""
-    gone = near_duplicates(df, id_col, text_col, words, similarity).select(F.col("id").alias("__gone")).distinct()
-    return df.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    gone = near_duplicates(df, id_col, text_col, words, similarity).select(F.col("id").alias(id_col)).distinct()
+    return df.join(gone, id_col, "left_anti").select(*df.columns)

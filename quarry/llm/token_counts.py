@@ -10,7 +10,7 @@ there.  Its character classes may belong to another Unicode version than those o
 once, when first met, and texts with a character that differs are cut by the library's own pre-tokeniser.
 
 Defined cases: a null text counts as the empty text; an empty table gives an empty table; other columns pass through,
-and a column with the name of the result raises ``ValueError``; equal rows are counted alike.
+but for one with the name of the result, which is replaced; equal rows are counted alike.
 """
 
 from __future__ import annotations
@@ -90,8 +90,7 @@ _counters: dict[int, PieceCounter] = {}
 
 def count_tokens(df: DataFrame, tokenizer_path: str, pattern: str, text_col: str = "text", out_col: str = "n_tokens") -> DataFrame:
     """Appends ``out_col`` (long): the number of tokens of each whole text."""
-    if out_col.lower() in (c.lower() for c in df.columns):
-        raise ValueError(f"there is a column {out_col!r} already")
+    df = scratch.without(df, (out_col,), (text_col,))
     scratch.small_batches(df.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())

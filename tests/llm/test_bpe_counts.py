@@ -67,8 +67,10 @@ def test_empty_and_clashes(spark, docs):
     assert bpe.round_trip(docs.where("false"), ranks, P.PATTERN).count() == 0
     with pytest.raises(ValueError):
         bpe.encode(docs, ranks, P.PATTERN, ids_col="TEXT")
-    with pytest.raises(ValueError):
-        token_counts.count_tokens(docs, P.path("byte_bpe_50k.json"), P.PATTERN, out_col="doc_id")
+    clash = docs.withColumn("IDS", F.lit("x")).withColumn("decoded", F.lit("y"))
+    assert bpe.round_trip(clash, ranks, P.PATTERN).columns == ["doc_id", "ids_of", "ids", "decoded"]
+    counted = token_counts.count_tokens(docs, P.path("byte_bpe_50k.json"), P.PATTERN, out_col="ids_of")
+    assert counted.schema["ids_of"].dataType.simpleString() == "bigint"
 
 
 def test_small_tables_of_known_pretokens(monkeypatch):

@@ -45,12 +45,11 @@ def test_rows_that_stay_keep_their_columns(spark):
     assert left.columns == df.columns and left.count() == len({(t or "").encode().lower() for _, t, _ in rows_of()})
 
 
-def test_empty_and_reserved(spark):
+def test_empty_and_clashing_names(spark):
     assert x.assign(spark.createDataFrame([], SCHEMA)).count() == 0
-    with pytest.raises(ValueError):
-        x.assign(spark.createDataFrame([(1, "a", 2)], "doc_id long, text string, __seg_row int").select("doc_id", "text")) if False else x.write_segments(
-            spark.createDataFrame([(1, "a", 2)], "doc_id long, text string, __seg_row int"), "doc_id", "text"
-        )
+    df = spark.createDataFrame([(1, "a", 2, 3), (2, "A", 4, 5)], "doc_id long, text string, __seg_row int, keep_id int")
+    assert [tuple(r) for r in x.deduplicate(df).collect()] == [(2, "A", 4, 5)]
+    assert {r["keep_id"] for r in x.assign(df).collect()} == {2}
 
 
 def test_directory_doubles_and_splits():

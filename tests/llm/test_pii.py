@@ -69,5 +69,6 @@ def test_redaction_and_clashes(spark):
     df = spark.createDataFrame([("mail a@b.co or 10.0.0.1!",), (None,)], "text string")
     assert [r["text"] for r in pii.redact(pii.find(df)).collect()] == ["mail <email> or <ip>!", None]
     assert pii.find(df.where("false")).count() == 0
+    assert pii.find(df.withColumn("pii", pii.F.lit(1))).columns == ["text", "pii"]
     with pytest.raises(ValueError):
         pii.find(df, out_col="text")
