@@ -21,20 +21,25 @@ from quarry.llm.queries import split_pattern, tokenizer_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without text are graded as empty ones."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.grade(docs, model).where("kept").select(*docs.columns)
+    places = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return quality.grade(docs.toDF(*places.values()), model, text_col=places["text"]).where("kept").select(*places.values()).toDF(*docs.columns)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without text are copies of empty ones; of rows that are equal in all but other columns one stays."""
     return exact_dedup.deduplicate(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without words are near duplicates of each other; those without id stay."""
     return simhash.deduplicate(docs, words=5, similarity=0.8)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows go through the mix without their texts, and meet them again by id and hash of the text."""
+    """Rows go through the mix without their texts, and meet them again by id and hash of the text.  Documents without
+    words are never taken; null is a source like any other."""
     columns = [c for c in docs.columns if c not in ("doc_id", "text", "source")]
     carried = {f"__c{i}": c for i, c in enumerate(columns)}
     rows = docs.select("doc_id", "text", "source", F.xxhash64("text").alias("__hash"), *(F.col(c).alias(k) for k, c in carried.items()))
@@ -46,6 +51,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without text have no ids."""
     coded = bpe.round_trip(docs.select("doc_id", "source", "lang", "text"), tokenizer_path("byte_bpe_50k.tiktoken"), split_pattern())
     return coded.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
