@@ -25,8 +25,13 @@ def value_counts(values: DataFrame, keys: list[str], value: str = "v") -> DataFr
 
 
 def running_counts(counts: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
-    """counts (keys, v, sums): appends, for each of ``sums``, ``upto_*`` (of values up to v) and ``all_*``."""
-    cuts = counts.groupBy(*keys).agg(F.percentile_approx("v", [i / PIECES for i in range(1, PIECES)], 1000).alias("__cuts"))
+    """counts (keys, v, sums): appends, for each of ``sums``, ``upto_*`` (of values up to v) and ``all_*``.  Rows with a
+    null key are left out."""
+    for key in keys:
+        counts = counts.where(F.col(key).isNotNull())
+    # the sums are mentioned so that all uses of ``counts`` read the same columns, and Spark makes them only once
+    v = F.when(F.least(*(F.col(s) for s in sums), F.lit(0)) >= 0, F.col("v"))
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx(v, [i / PIECES for i in range(1, PIECES)], 1000).alias("__cuts"))
     cuts = cuts.withColumn("__coarse", F.filter("__cuts", lambda c, i: i % 8 == 7))
     cut = counts.join(cuts, keys) if keys else counts.crossJoin(cuts)
     # a value's piece by two short looks: among every eighth cut, then among the seven between two of these

@@ -103,7 +103,7 @@ def anchors_exact(a: DataFrame, b: DataFrame, columns: list[str]) -> list[TestRe
 
 def two_sample_distances(values: DataFrame) -> DataFrame:
     """values (column, side, v), side 0 or 1: (column, n0, n1, d) by running counts of distinct values."""
-    counts = values.groupBy("column", "v").agg(F.count_if(F.col("side") == 0).alias("n0"), F.count_if(F.col("side") == 1).alias("n1"))
+    counts = values.groupBy("column", "v").agg(F.sum(1 - F.col("side")).alias("n0"), F.sum(F.col("side").cast("long")).alias("n1"))
     run = running_counts(counts, ["column"], ["n0", "n1"])
     gap = F.abs(F.col("upto_n0") / F.col("all_n0") - F.col("upto_n1") / F.col("all_n1"))
     return run.groupBy("column").agg(F.max("all_n0").alias("n0"), F.max("all_n1").alias("n1"), F.max(F.when((F.col("all_n0") > 0) & (F.col("all_n1") > 0), gap)).alias("d"))
