@@ -343,7 +343,8 @@ def wide_pairs(classes: DataFrame, similarity: float = 0.8) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     dealt = classes.mapInArrow(spread, "trie int, head long, word long, node long, fp binary")
-    return dealt.repartition("trie", "head").mapInArrow(join, "a long, b long").distinct()
+    # by ranges, so that a family of very many rows is cut into subtries of several tasks; each boundary parts one family
+    return dealt.repartitionByRange("trie", "head", "word").mapInArrow(join, "a long, b long").distinct()
 
 
 def similar_pairs(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
