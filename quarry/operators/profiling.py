@@ -53,9 +53,12 @@ def moments(df: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select("column", "n", "mean", "std", "min", "max", "std_pop", skew.alias("skewness"), kurt.alias("kurtosis"))
 
 
+QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+
+
 def numeric_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """``moments`` with exact quartiles q25, q50 and q75."""
-    quartiles = quantiles(value_counts(long_values(df, columns), ["column"]), ["column"], {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    quartiles = quantiles(value_counts(long_values(df, columns), ["column"]), ["column"], QUARTILES)
     return moments(df, columns).join(quartiles, "column", "left")
 
 
@@ -126,13 +129,11 @@ def column_types(df: DataFrame) -> DataFrame:
     return joined.select("column", chosen.alias("column_type"))
 
 
-def examples(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, values): up to five non-null values of each column, by the smallest hashes of value and column."""
-    pairs = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in columns))
-    long = df.select(F.explode(pairs).alias("p")).select("p.*").where("v is not null")
-    # a few candidates per partial aggregation, not all values
+def examples(counts: DataFrame) -> DataFrame:
+    """(column, values): up to five distinct values of each column of ``labelled_counts``, those with the smallest hashes."""
+    # the ranking is cut before the shuffle as well
     rank = F.row_number().over(Window.partitionBy("column").orderBy(F.xxhash64("column", "v"), "v"))
-    chosen = long.distinct().withColumn("r", rank).where(F.col("r") <= EXAMPLES)
+    chosen = counts.select("column", "v").withColumn("r", rank).where(F.col("r") <= EXAMPLES)
     return chosen.groupBy("column").agg(F.sort_array(F.collect_list("v")).alias("values"))
 
 
@@ -147,7 +148,8 @@ def _dtype(field: T.StructField, nulls: int) -> str:
 
 
 def profile(df: DataFrame) -> list[ColumnProfile]:
-    """Profiles of all columns, in order.  Only aggregates come to the driver.  ``df`` is read three times: cache it."""
+    """Profiles of all columns, in order.  Only aggregates come to the driver.  The table is read for moments and text
+    classes and for its distinct values, which serve counts, top values, quartiles and examples: cache it."""
     from datetime import datetime, timedelta
 
     kinds = kinds_of(df)
@@ -161,13 +163,16 @@ def profile(df: DataFrame) -> list[ColumnProfile]:
         top.setdefault(r["column"], {})[r["v"]] = r["n"]
     nulls = df.agg(F.count(F.lit(1)).alias("__n"), *(F.count_if(F.col(c).isNull()).alias(c) for c in names)).first()
     n = nulls["__n"]
-    numeric = {r["column"]: r for r in numeric_stats(df, numbers).collect()} if numbers else {}
+    numeric: dict = {}
+    if numbers:
+        as_numbers = counts.where(F.col("column").isin(numbers)).select("column", F.col("v").cast("double").alias("v"), "n")
+        numeric = {r["column"]: r for r in moments(df, numbers).join(quantiles(as_numbers, ["column"], QUARTILES), "column", "left").collect()}
     ratios = text_ratios(df, texts) if texts else None
     dates = {r["column"]: r["dates"] for r in ratios.collect()} if texts else {}
     classes = {r["column"]: r["regex_pattern"] for r in text_class(ratios).collect()} if texts else {}
     when = [c for c in names if kinds[c] == "datetime" or (dates.get(c) or 0) >= MATCH_RATIO]
     spans = {r["column"]: r for r in datetime_stats(df, when).collect()} if when else {}
-    shown = {r["column"]: list(r["values"]) for r in examples(df, [c for c in names if kinds[c] != "other"]).collect()}
+    shown = {r["column"]: list(r["values"]) for r in examples(counts).collect()}
     counts.unpersist()
     out = []
     for c in names:
