@@ -1,14 +1,16 @@
-"""Command line: compress, decompress, validate, run-poc."""
+"""Command line: compress, decompress, validate, run-poc, fingerprint."""
 
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 import time
 
 from quarry.operators.validation import report_text
 from quarry.plans import pipeline
 from quarry.session import session
+from quarry.sources import fingerprint, recipes
 
 #: A comparison succeeds from this score.
 PASSING = 50.0
@@ -52,6 +54,10 @@ def parser() -> argparse.ArgumentParser:
     v.add_argument("--reconstructed", required=True)
     v.add_argument("--anchor-columns")
     v.add_argument("--recipe")
+    f = commands.add_parser("fingerprint", help="pictures of a compressed table, and next to the original")
+    f.add_argument("--recipe", required=True)
+    f.add_argument("--original")
+    f.add_argument("--output", required=True)
     r = commands.add_parser("run-poc")
     compressing(r)
     r.add_argument("--output", default="output")
@@ -72,6 +78,23 @@ def _told(result) -> str:
     )
 
 
+def _bytes(path: str) -> bytes:
+    """A file, or the data files of a folder in order of their names."""
+    if os.path.isdir(path):
+        return b"".join(_bytes(os.path.join(path, n)) for n in sorted(os.listdir(path)) if not n.startswith(("_", ".")))
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def draw(a) -> int:
+    compressed = _bytes(a.recipe) + _bytes(recipes.anchor_path(recipes.read(a.recipe), a.recipe))
+    fingerprint.write_png(fingerprint.rgb(compressed), f"{a.output}/fingerprint_rgb.png")
+    fingerprint.write_png(fingerprint.bases(compressed), f"{a.output}/fingerprint_dna.png")
+    if a.original:
+        fingerprint.write_png(fingerprint.side_by_side(_bytes(a.original), compressed), f"{a.output}/fingerprint_comparison.png")
+    return 0
+
+
 def run(spark, a) -> int:
     if a.command == "compress":
         print(_told(_compress(spark, a)))
@@ -98,7 +121,7 @@ def main(argv: list[str] | None = None) -> int:
     """0: done, 1: failed, 2: a file is missing, 130: interrupted."""
     a = parser().parse_args(argv)
     try:
-        return run(session(), a)
+        return draw(a) if a.command == "fingerprint" else run(session(), a)
     except KeyboardInterrupt:
         return 130
     except FileNotFoundError as e:

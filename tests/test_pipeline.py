@@ -79,5 +79,8 @@ def test_command_line(users, tmp_path, capsys):
     assert recipes.read(recipe).metadata.n_rows == 4000
     assert cli.main(["decompress", "--recipe", recipe, "--output", str(tmp_path / "o.csv")]) == 0
     assert cli.main(["validate", "--original", users, "--reconstructed", str(tmp_path / "o.csv"), "--recipe", recipe]) == 0
+    assert cli.main(["fingerprint", "--recipe", recipe, "--original", users, "--output", str(tmp_path / "pictures")]) == 0
+    assert len(os.listdir(tmp_path / "pictures")) == 3
+    assert cli.main(["fingerprint", "--recipe", str(tmp_path / "none.md"), "--output", str(tmp_path)]) == 2
     assert cli.main(["compress", "--input", users, "--output", str(tmp_path), "--codec", "zip"]) == 1
     assert cli.listed("a, b,,") == ["a", "b"] and cli.listed(None) is None and cli.size_text(2048) == "2.00 KB"
