@@ -44,11 +44,10 @@ def with_row_id(df: DataFrame) -> DataFrame:
     for part_id, n in sorted((r["part"], r["count"]) for r in sizes):
         offsets[part_id] = total
         total += n
-    if not offsets:
-        return df.withColumn(ROW_ID, F.lit(None).cast("long"))
-    # one number per partition of the scan
-    starts = F.create_map(*[F.lit(x) for p in offsets.items() for x in p])
-    return tagged.withColumn(ROW_ID, F.try_element_at(starts, part) + F.col("__mono").bitwiseAND((1 << 33) - 1)).drop("__mono")
+    # one row of two numbers per partition of the scan
+    starts = df.sparkSession.createDataFrame(list(offsets.items()), "__part long, __start long")
+    numbered = tagged.withColumn("__part", part).join(F.broadcast(starts), "__part")
+    return numbered.select(*df.columns, (F.col("__start") + F.col("__mono").bitwiseAND((1 << 33) - 1)).alias(ROW_ID))
 
 
 def folder_size(spark: SparkSession, path: str) -> int:
