@@ -14,8 +14,8 @@ keep it so for others.  Saturated sources need no multiplier: their rate is ``li
 
 Copies.  A document takes the whole part of its rate; the fractions are rounded by order sampling: a document's
 priority is a hash of its id and text size, divided by its fraction, and documents take one more copy in order of
-priority until the source's target is met.  The cut is found by two histograms of priorities, and rows are ordered only
-within the one fine bin that it falls in, so that no source is brought into one task.  Last, one document of each
+priority until the source's target is met.  The cut is found digit by digit, by histograms of priorities with
+256 bins a source, and rows are ordered only within the one fine bin that it falls in, so that no source is brought into one task.  Last, one document of each
 source gains or loses a copy where that brings the source closer to its target.
 
 Defined cases: a null text has size 0 and takes nothing; null sources form one source; a source without words has target
@@ -33,8 +33,8 @@ from quarry.llm import scratch
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 LIMIT = 2.0
-#: Priorities are cut into 2**24 fine bins, found by their upper and lower 12 bits.
-BIN_BITS = 12
+#: Priorities are cut into 2**24 fine bins, found by three digits of 8 bits.
+BIN_BITS, DIGITS = 8, 3
 NEWTON_ROUNDS = 60
 #: Largest relative distance from a target at which the iterations end.
 TOLERANCE = 1e-9
@@ -132,16 +132,14 @@ def mix(
     uniform = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
     rated = sizes.df.join(solved, F.col("of").eqNullSafe(F.col("source"))).drop("of").withColumn("rate", F.when(F.col("size") > 0, rate).otherwise(F.lit(0.0)))
     fraction = F.col("rate") - F.floor("rate")
-    fine = 1 << 2 * BIN_BITS
+    fine = 1 << DIGITS * BIN_BITS
     # priorities u / fraction run from 0 up; p / (1 + p) keeps their order and fits the bins
     priority = F.col("__mix_u") / fraction
     marked = scratch.materialize(
         rated.withColumn("whole", F.floor("rate"))
         .withColumn("__mix_u", uniform)
         .withColumn("priority", F.when(fraction > 0, priority / (1 + priority)))
-        .withColumn("bin", F.least(F.floor(F.col("priority") * fine), F.lit(fine - 1)))
-        .withColumn("hi", F.shiftright("bin", BIN_BITS))
-        .withColumn("lo", F.col("bin").bitwiseAND((1 << BIN_BITS) - 1)),
+        .withColumn("bin", F.least(F.floor(F.col("priority") * fine), F.lit(fine - 1))),
         "mix-rated",
     )
     rows = marked.df
@@ -149,26 +147,21 @@ def mix(
     whole = rows.groupBy("source").agg(F.max("target").alias("target"), F.sum(F.col("whole") * F.col("size")).alias("have"))
     wanted = whole.select(F.col("source").alias("of"), (F.col("target") - F.col("have")).alias("wanted"))
 
-    def crossing(binned: DataFrame, need: DataFrame, level: str) -> DataFrame:
+    def crossing(inside: DataFrame, need: DataFrame, shift: int) -> DataFrame:
         """The bin in which the running size passes what is wanted, and what is still wanted there."""
-        sums = binned.groupBy("source", level).agg(F.sum("size").alias("words"))
-        upto = Window.partitionBy("source").orderBy(level).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        sums = inside.groupBy("source", F.shiftright("bin", shift).alias("part")).agg(F.sum("size").alias("words"))
+        upto = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         run = sums.withColumn("upto", F.sum("words").over(upto)).join(need, F.col("of").eqNullSafe(F.col("source"))).drop("of")
-        return (
-            run.where(F.col("upto") > F.col("wanted"))
-            .groupBy("source")
-            .agg(F.min(F.struct(F.col(level), (F.col("wanted") - F.col("upto") + F.col("words")).alias("rest"))).alias("c"))
-            .select(F.col("source").alias("of"), F.col(f"c.{level}").alias(f"cut_{level}"), F.col("c.rest").alias("wanted"))
-        )
-
-    first = scratch.materialize(crossing(candidates, wanted, "hi"), "mix-cut")
-    in_first = candidates.join(first.df.drop("wanted"), F.col("of").eqNullSafe(F.col("source")) & (F.col("hi") == F.col("cut_hi"))).drop("of", "cut_hi")
-    second = scratch.materialize(crossing(in_first, first.df.select("of", "wanted"), "lo").withColumnRenamed("of", "of2"), "mix-cut")
-    cut = (
-        first.df.drop("wanted")
-        .join(second.df, F.col("of").eqNullSafe(F.col("of2")))
-        .select("of", F.shiftleft("cut_hi", BIN_BITS).bitwiseOR(F.col("cut_lo")).alias("cut"), "wanted")
-    )
+        least = F.min(F.struct("part", (F.col("wanted") - F.col("upto") + F.col("words")).alias("rest"))).alias("c")
+        passed = run.where(F.col("upto") > F.col("wanted")).groupBy("source").agg(least)
+        return passed.select(F.col("source").alias("of"), F.col("c.part").alias("cut"), F.col("c.rest").alias("wanted"))
+
+    inside, need = candidates, wanted
+    for digit in reversed(range(DIGITS)):
+        found = scratch.materialize(crossing(inside, need, digit * BIN_BITS), "mix-cut")
+        cut, need = found.df, found.df.select("of", "wanted")
+        here = F.shiftright("bin", digit * BIN_BITS) == F.col("cut")
+        inside = candidates.join(found.df.drop("wanted"), F.col("of").eqNullSafe(F.col("source")) & here).drop("of", "cut")
     against = rows.join(cut, F.col("of").eqNullSafe(F.col("source")), "left").drop("of")
     fine_order = Window.partitionBy("source").orderBy("priority", "__mix_id", "__mix_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = against.where(F.col("bin") == F.col("cut"))
