@@ -12,8 +12,8 @@ once both nodes lie wholly in one component already.  A hot neighbourhood is spr
 differ from each other in few bits: a trie holds only those that agree in three whole blocks.  Each task emits a
 spanning forest of the links it finds, not the links, and components are then found over the whole corpus.
 
-``near_duplicates`` works with longer shingles and a wider distance, where the tries only propose pairs, and keeps those
-whose shingle sets overlap enough.
+``near_duplicates`` works with longer shingles and a wider distance.  There the tries only propose pairs that draw large
+groups together, the shingle sets decide, and an exact join of rare shingles finds every link between what is still apart.
 
 Defined cases: a null text or one without words has fingerprint zero and links like any other; texts shorter than a
 shingle count as one; rows with a null id take part and get the component of their class, null if no id is known in
@@ -245,20 +245,26 @@ def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
     return h ^ h >> np.uint64(31)
 
 
-def wide_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """(id, fp): fp is a binary of ``WIDE`` 64-bit fingerprints."""
+def wide_fingerprints(df: DataFrame, id_col: str, text_col: str, words: int, common: tuple[np.ndarray, np.ndarray], similarity: float) -> DataFrame:
+    """(id, fp, size, prefix): fp is a binary of ``WIDE`` 64-bit fingerprints, size the number of distinct shingles and
+    prefix those of them that every similar set shares one of."""
     scratch.small_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    shared = df.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = []
+            fps, sizes, firsts = [], [], []
             for text in batch.column(1):
                 hashes = shingle_hashes(text.as_py(), words)
                 fps.append(b"".join(fingerprint(_mixed(hashes, w)).to_bytes(8, "little") for w in range(WIDE)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary())], names=["id", "fp"])
+                distinct = np.unique(hashes)
+                sizes.append(len(distinct))
+                firsts.append(prefix(distinct, shared.value, similarity).view(np.int64))
+            columns = [batch.column(0), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "size", "prefix"])
 
-    return docs.mapInArrow(run, "id long, fp binary")
+    return docs.mapInArrow(run, "id long, fp binary, size long, prefix array<long>")
 
 
 def _orders(prefix: int, similarity: float) -> list[np.ndarray]:
@@ -364,14 +370,87 @@ def similar_pairs(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, w
     return pairs.join(one, "a").join(two, "b").where(overlap >= similarity).select("a", "b")
 
 
+# --- what the tries leave out -----------------------------------------------------------------------------------------
+#
+# Sets whose Jaccard similarity is t share at least t of the shingles of each, so in any common order of all shingles two
+# such sets share one among the first n - ceil(t n) + 1 of each.  In the order used here, common shingles come last, so
+# that these prefixes hold rare ones.  Which shingles are common is told by a sample: it moves work, never results.
+# Prefixes meet by shingle, and only where documents of two components meet: pairs within one component can't change it.
+
+#: One in so many documents is sampled for common shingles.
+SAMPLED = 16
+#: Documents that are sampled at least, if there are as many.
+SAMPLED_LEAST = 8192
+#: Shingles of so many sampled documents are common.
+COMMON_FROM = 8
+#: Common shingles that are kept in mind, those of most documents.
+COMMON = 1 << 19
+
+
+def common_shingles(df: DataFrame, id_col: str, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the common shingles, and in how many sampled documents they are."""
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    one_in = max(1, min(SAMPLED, docs.count() // SAMPLED_LEAST))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(text.as_py(), words)).view(np.int64))], names=["shingle"])
+
+    sample = docs.where(F.pmod(F.xxhash64("id"), F.lit(one_in)) == 0).select("text").mapInArrow(run, "shingle long")
+    counted = sample.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON_FROM)
+    found = counted.orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
+    shingle, n = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
+    order = np.argsort(shingle)
+    return shingle[order], n[order]
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    """Of n shingles in the common order, as many as hold one of every set that is similar enough."""
+    return n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
+
+
+def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first of a sorted set of shingles in the common order: by sampled documents, and then by hash."""
+    known, counts = common
+    weight = np.zeros(len(shingles), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+        weight = np.where(known[at] == shingles, counts[at], 0)
+    return shingles[np.argsort(weight, kind="stable")[: prefix_length(len(shingles), similarity)]]
+
+
+def crossing_pairs(classes: DataFrame, components: DataFrame, similarity: float) -> DataFrame:
+    """classes (node, size, prefix), components (vertex, component).  All pairs (a, b) of nodes of two components that may
+    be similar enough."""
+    named = classes.join(components, F.col("node") == F.col("vertex"), "left").select("node", "size", "prefix", F.coalesce("component", "node").alias("component"))
+    rows = named.select("node", "size", "component", F.explode("prefix").alias("shingle"))
+    met = scratch.materialize(
+        rows.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle"), "met-shingles"
+    )
+    kept = scratch.materialize(rows.join(met.df, "shingle"), "met-prefixes")
+    one, two = (kept.df.select("shingle", F.col("node").alias(n), F.col("size").alias(f"n{n}"), F.col("component").alias(f"c{n}")) for n in ("a", "b"))
+    near = (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9)
+    counted = one.join(two, "shingle").where(near).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
+    # of the set whose prefix ends first, all that is shared is among the shared ones of the prefixes or comes after its own
+    most = F.col("shared") + F.greatest(*(F.ceil(similarity * F.col(n) - 1e-9) - 1 for n in ("na", "nb")))
+    return counted.where(most >= similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-9).select("a", "b").distinct()
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, component) of the documents that are near duplicates of one with a smaller id, which is the component."""
-    marked = scratch.materialize(wide_fingerprints(df, id_col, text_col, words), "wide-fingerprints")
-    classes = scratch.materialize(marked.df.groupBy("fp").agg(F.min("id").alias("node")).select("node", "fp"), "wide-classes")
-    pairs = scratch.materialize(wide_pairs(classes.df, similarity), "wide-pairs")
-    components, _ = connected_components(similar_pairs(pairs.df, df, id_col, text_col, words, similarity))
+    common = common_shingles(df, id_col, text_col, words)
+    marked = scratch.materialize(wide_fingerprints(df, id_col, text_col, words, common, similarity), "wide-fingerprints")
+    firsts = marked.df.groupBy("fp").agg(F.min("id").alias("node"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    classes = scratch.materialize(firsts, "wide-classes")
+    pairs = scratch.materialize(wide_pairs(classes.df.select("node", "fp"), similarity), "wide-pairs")
+    close = scratch.materialize(similar_pairs(pairs.df, df, id_col, text_col, words, similarity), "close-pairs")
+    drawn, _ = connected_components(close.df)
+    crossing = scratch.materialize(crossing_pairs(classes.df, drawn, similarity), "crossing-pairs")
+    more = similar_pairs(crossing.df, df, id_col, text_col, words, similarity)
+    components, _ = connected_components(close.df.union(more))
     named = classes.df.join(components, F.col("node") == F.col("vertex"), "left").select("fp", F.coalesce("component", "node").alias("component"))
-    return marked.df.join(named, "fp").where("id != component").select("id", "component")
+    return marked.df.select("id", "fp").join(named, "fp").where("id != component").select("id", "component")
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
