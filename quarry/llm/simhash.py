@@ -246,25 +246,27 @@ def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
 
 
 def wide_fingerprints(df: DataFrame, id_col: str, text_col: str, words: int, common: tuple[np.ndarray, np.ndarray], similarity: float) -> DataFrame:
-    """(id, fp, size, prefix): fp is a binary of ``WIDE`` 64-bit fingerprints, size the number of distinct shingles and
-    prefix those of them that every similar set shares one of."""
+    """(id, fp, key, size, prefix): of the distinct shingles, ``WIDE`` 64-bit fingerprints in one binary, a 128-bit hash of
+    the whole set, their number, and those that every similar set shares one of."""
     scratch.small_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     shared = df.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in batches:
-            fps, sizes, firsts = [], [], []
+            fps, keys, sizes, firsts = [], [], [], []
             for text in batch.column(1):
-                hashes = shingle_hashes(text.as_py(), words)
-                fps.append(b"".join(fingerprint(_mixed(hashes, w)).to_bytes(8, "little") for w in range(WIDE)))
-                distinct = np.unique(hashes)
+                distinct = np.unique(shingle_hashes(text.as_py(), words))
+                fps.append(b"".join(fingerprint(_mixed(distinct, w)).to_bytes(8, "little") for w in range(WIDE)))
+                keys.append(xxhash.xxh3_128_digest(distinct.astype("<u8").tobytes()))
                 sizes.append(len(distinct))
                 firsts.append(prefix(distinct, shared.value, similarity).view(np.int64))
-            columns = [batch.column(0), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "size", "prefix"])
+            columns = [batch.column(0), pa.array(fps, pa.binary()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "key", "size", "prefix"])
 
-    return docs.mapInArrow(run, "id long, fp binary, size long, prefix array<long>")
+    return docs.mapInArrow(run, "id long, fp binary, key binary, size long, prefix array<long>")
 
 
 def _orders(prefix: int, similarity: float) -> list[np.ndarray]:
@@ -294,7 +296,7 @@ def closest_links(forest: Forest, a: np.ndarray, b: np.ndarray, far: np.ndarray)
 
 
 def wide_pairs(classes: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """classes (node, fp binary), one row per fingerprint.  Pairs (a, b) of nodes that may be similar enough."""
+    """classes (node, fp binary), one row per set of shingles.  Pairs (a, b) of nodes that may be similar enough."""
     chance = flip_chance(similarity)
     # three standard deviations above what is expected at the threshold
     budget, word_budget = (int(n * chance + 3 * np.sqrt(n * chance * (1 - chance))) for n in (WIDE * BITS, BITS))
@@ -441,7 +443,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, component) of the documents that are near duplicates of one with a smaller id, which is the component."""
     common = common_shingles(df, id_col, text_col, words)
     marked = scratch.materialize(wide_fingerprints(df, id_col, text_col, words, common, similarity), "wide-fingerprints")
-    firsts = marked.df.groupBy("fp").agg(F.min("id").alias("node"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    firsts = marked.df.groupBy("key").agg(F.min("id").alias("node"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
     classes = scratch.materialize(firsts, "wide-classes")
     pairs = scratch.materialize(wide_pairs(classes.df.select("node", "fp"), similarity), "wide-pairs")
     close = scratch.materialize(similar_pairs(pairs.df, df, id_col, text_col, words, similarity), "close-pairs")
@@ -449,8 +451,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     crossing = scratch.materialize(crossing_pairs(classes.df, drawn, similarity), "crossing-pairs")
     more = similar_pairs(crossing.df, df, id_col, text_col, words, similarity)
     components, _ = connected_components(close.df.union(more))
-    named = classes.df.join(components, F.col("node") == F.col("vertex"), "left").select("fp", F.coalesce("component", "node").alias("component"))
-    return marked.df.select("id", "fp").join(named, "fp").where("id != component").select("id", "component")
+    named = classes.df.join(components, F.col("node") == F.col("vertex"), "left").select("key", F.coalesce("component", "node").alias("component"))
+    return marked.df.select("id", "key").join(named, "key").where("id != component").select("id", "component")
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:

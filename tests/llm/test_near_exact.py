@@ -49,3 +49,15 @@ def test_family_of_links_around_the_threshold(spark):
     rng = random.Random(1)
     rows = list(enumerate(family(rng, 300, [1, 2, 3, 4, 5]) + family(rng, 60, [3]) + family(rng, 60, [2, 4])))
     assert near(spark, rows) == all_pairs(rows)
+
+
+def test_a_dominant_shingle_does_not_make_copies(spark):
+    rng = random.Random(4)
+    hum = "la " * 300
+    texts = [hum + " ".join(rng.choice(WORDS) for _ in range(100)) for _ in range(8)]
+    # the same shingles, but repeated very differently
+    tune = "a b c d e "
+    texts += [tune * 3, tune * 200, "la " * 50, "la " * 500]
+    rows = list(enumerate(texts))
+    wanted = all_pairs(rows)
+    assert wanted == {9: 8, 11: 10} and near(spark, rows) == wanted
