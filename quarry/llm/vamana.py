@@ -8,6 +8,12 @@ back are added and overfull nodes pruned again; a second pass widens ``alpha``.
 distance by one more coordinate that brings all vectors of a shard to the same norm.  Searches run in batches: one step
 expands the best open candidate of every query of the batch at once.
 
+Where norms differ much, the largest products belong to few long vectors, and the added coordinate leaves the short ones
+in one dense cloud that a search crosses badly.  So the ``HEAD`` longest vectors of every shard are scored for every query
+beside the search, whatever the shard's size; in a shard of up to ``HEAD`` vectors that covers all of them.  Graphs are
+built and searched in single precision on vectors divided by the shard's largest component, so that no finite vector
+overflows there; the scores that are returned are computed on the vectors as given, in double precision.
+
 The graphs are written to the shared folder.  Queries are sent to every shard, in blocks, and a beam search in each
 gives the shard's best classes; scores are then computed on the original vectors in double precision, and the best
 ``k`` of all shards are taken, ties to the smaller id.  The query set is a stated part of the rows, so the work is
@@ -15,7 +21,8 @@ queries times shards, not rows times rows; nothing is broadcast.
 
 Defined cases: vectors that are null, zero, or hold a null or non-finite component take no part, neither do rows with a
 null id; vectors of different lengths never meet; rows that are equal in id and vector count once as candidates and
-once as queries; an empty table gives an empty table; other columns are not read.
+once as queries; with fewer than k other vectors, all are returned; products that tie are ordered by id, and products
+beyond double precision are infinite; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,19 +43,29 @@ BEAM = 64
 SEARCH_BEAM = 96
 ALPHA = 1.2
 BATCH = 512
+#: Longest vectors of a shard, which every query is held against.
+HEAD = 512
 
 
 # --- one shard, in NumPy -------------------------------------------------------------------------------------------
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors divided by their largest component, in double precision: products keep their order."""
+    exact = vectors.astype(np.float64)
+    return exact / np.abs(exact).max()
+
+
 def lift(vectors: np.ndarray) -> np.ndarray:
     """One more coordinate brings all to the largest norm; then the nearest is the one with the largest product."""
-    norms = (vectors.astype(np.float64) ** 2).sum(axis=1)
-    return np.column_stack([vectors, np.sqrt(np.maximum(norms.max() - norms, 0))]).astype(np.float32)
+    own = scaled(vectors)
+    norms = (own**2).sum(axis=1)
+    return np.column_stack([own, np.sqrt(np.maximum(norms.max() - norms, 0))]).astype(np.float32)
 
 
 def beam_search(points: np.ndarray, squares: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """The best nodes found for each query and their distances, up to the query's own square.  graph: -1 is no edge."""
+    """The best distinct nodes found for each query (-1: none) and their distances, up to the query's own square.
+    graph: -1 is no edge, and no node has an edge twice."""
     n, degree = graph.shape
     count = len(queries)
     ids = np.full((count, beam), -1)
@@ -57,7 +74,8 @@ def beam_search(points: np.ndarray, squares: np.ndarray, graph: np.ndarray, star
     far[:, 0] = squares[start] - 2 * (queries @ points[start])
     done = np.ones((count, beam), bool)
     done[:, 0] = False
-    seen = np.zeros((count, n), bool)
+    # one column more, for the missing edges
+    seen = np.zeros((count, n + 1), bool)
     seen[:, start] = True
     active = np.arange(count)
     while len(active):
@@ -68,6 +86,7 @@ def beam_search(points: np.ndarray, squares: np.ndarray, graph: np.ndarray, star
         seen[active[:, None], near] |= near >= 0
         d = squares[near] - 2 * np.einsum("qd,qkd->qk", queries[active], points[near])
         d[~fresh] = np.inf
+        near = np.where(fresh, near, -1)
         all_far = np.concatenate([far[active], d], axis=1)
         all_ids = np.concatenate([ids[active], near], axis=1)
         all_done = np.concatenate([done[active], ~fresh], axis=1)
@@ -113,6 +132,8 @@ def build_graph(vectors: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alp
     start = int(np.argmin(((points - points.mean(axis=0)) ** 2).sum(axis=1)))
     graph = np.where(np.arange(degree) < n - 1, random.integers(0, n, (n, degree)), -1)
     graph[graph == np.arange(n)[:, None]] = -1
+    graph.sort(axis=1)
+    graph[:, 1:][graph[:, 1:] == graph[:, :-1]] = -1
     for factor in (1.0, alpha):
         order = random.permutation(n)
         for at in range(0, n, BATCH):
@@ -138,17 +159,27 @@ def build_graph(vectors: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alp
 
 
 def search_graph(vectors: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray, k: int, beam: int = SEARCH_BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers (-1: none) and inner products in double precision, the largest first."""
+    """Distinct row numbers (-1: none) and inner products in double precision, the largest first."""
     points = lift(vectors)
     squares = (points**2).sum(axis=1)
     exact = vectors.astype(np.float64)
+    head = np.argsort(points[:, -1], kind="stable")[:HEAD]
+    in_head = np.zeros(len(vectors), bool)
+    in_head[head] = True
     rows, scores = [], []
     for at in range(0, len(queries), BATCH):
-        part = queries[at : at + BATCH]
-        lifted = np.column_stack([part, np.zeros(len(part))]).astype(np.float32)
-        found, _ = beam_search(points, squares, graph, start, lifted, max(beam, k))
-        products = (part.astype(np.float64)[:, None, :] * exact[found]).sum(axis=2)
+        part = queries[at : at + BATCH].astype(np.float64)
+        own = part / np.abs(part).max(axis=1, keepdims=True)
+        found, _ = beam_search(points, squares, graph, start, np.column_stack([own, np.zeros(len(part))]).astype(np.float32), max(beam, k))
+        found[(found >= 0) & in_head[found]] = -1
+        near = points[head, :-1] @ own.T.astype(np.float32)
+        best = np.argpartition(-near, min(max(beam, k), len(head)) - 1, axis=0)[: max(beam, k)].T
+        found = np.concatenate([found, head[best]], axis=1)
+        with np.errstate(over="ignore", invalid="ignore"):
+            products = (part[:, None, :] * exact[found]).sum(axis=2)
         products[found < 0] = -np.inf
+        found[np.isnan(products)] = -1
+        products[np.isnan(products)] = -np.inf
         best = np.argsort(-products, axis=1, kind="stable")[:, : max(k, 1)]
         rows.append(np.take_along_axis(found, best, 1))
         scores.append(np.take_along_axis(products, best, 1))
@@ -178,14 +209,15 @@ def build_index(classes: DataFrame, shard_rows: int = SHARD_ROWS) -> scratch.Tab
 
     def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("class", ignore_index=True)
-        graph, start = build_graph(np.stack(rows["vector"]).astype(np.float32))
+        graph, start = build_graph(np.stack(rows["vector"]))
         rows["neighbours"] = [g[g >= 0].astype(np.int32) for g in graph]
         rows["place"] = np.arange(len(rows), dtype=np.int32)
         rows["start"] = rows["place"] == start
         return rows
 
     dealt = classes.withColumn("shard", F.pmod(F.xxhash64("class"), F.lit(shards)).cast("int"))
-    schema = "class long, vector array<float>, ids array<long>, width int, shard int, neighbours array<int>, place int, start boolean"
+    kind = classes.schema["vector"].dataType.simpleString()
+    schema = f"class long, vector {kind}, ids array<long>, width int, shard int, neighbours array<int>, place int, start boolean"
     return scratch.materialize(dealt.groupBy("width", "shard").applyInPandas(build, schema), "vector-index")
 
 
@@ -205,7 +237,7 @@ def search(index: scratch.Table, queries: DataFrame, k: int) -> DataFrame:
         for i, near in enumerate(nodes["neighbours"]):
             graph[i, : len(near)] = near
         rows, scores = search_graph(
-            np.stack(nodes["vector"]).astype(np.float32), graph, int(np.argmax(nodes["start"])), np.stack(asked["vector"]).astype(np.float32), k + 1
+            np.stack(nodes["vector"]), graph, int(np.argmax(nodes["start"])), np.stack(asked["vector"]), k + 1
         )
         at, which = np.nonzero(rows >= 0)
         ids = nodes["ids"].to_numpy()[rows[at, which]]

@@ -78,3 +78,40 @@ def test_pruned_edges_are_not_covered():
     rows, scores = v.search_graph(x, graph, start, x[:50], 5)
     exact = np.argsort(-(x[:50].astype(np.float64) @ x.astype(np.float64).T), axis=1)[:, :5]
     assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(rows, exact, strict=True)]) >= 0.9
+
+
+def found_and_wanted(x, queries, k):
+    graph, start = v.build_graph(x)
+    rows, scores = v.search_graph(x, graph, start, x[queries], k)
+    exact = x[queries].astype(np.float64) @ x.astype(np.float64).T
+    return rows, scores, np.argsort(-exact, axis=1, kind="stable")[:, :k]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 19, 20, 21, 22, 40, 95, 96, 97, 200])
+def test_small_shards_are_whole(n):
+    x = np.random.default_rng(n).normal(size=(n, 8)).astype(np.float32)
+    rows, scores, exact = found_and_wanted(x, np.arange(n), 21)
+    for got, own, wanted in zip(rows, scores, exact, strict=True):
+        assert got[got >= 0].tolist() == wanted.tolist()
+        assert np.isfinite(own[got >= 0]).all()
+
+
+@pytest.mark.parametrize(("n", "spread", "scale"), [(1000, 1.5, 1.0), (3000, 1.5, 1.0), (3000, 0.5, 1.0), (3000, 0.0, 1e20), (3000, 0.0, 1e-20)])
+def test_recall_with_unequal_norms_and_sizes(n, spread, scale):
+    rng = np.random.default_rng(2)
+    x = (rng.normal(size=(n, 16)) * rng.lognormal(sigma=spread, size=(n, 1)) * scale).astype(np.float32)
+    rows, _, exact = found_and_wanted(x, np.arange(0, n, 10), 20)
+    assert all(len(set(r.tolist())) == 20 for r in rows)
+    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(rows, exact, strict=True)]) >= 0.95
+
+
+def test_doubles_and_large_components_keep_their_scores(spark):
+    x = np.random.default_rng(3).normal(size=(30, 4))
+    x[10:20] *= 1e100
+    rows = [(i, [float(c) for c in e], "") for i, e in enumerate(x)]
+    got = v.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string"), F.col("vec_id") % 20 == 0, 20).collect()
+    wanted = brute(rows, 20)
+    for q in wanted:
+        own = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
+        assert [i for _, i, _ in own] == [i for i, _ in wanted[q]]
+        assert [s for *_, s in own] == pytest.approx([s for _, s in wanted[q]], rel=1e-12)
