@@ -14,12 +14,14 @@ Columns: record_id, record_type, target_uri, date, refers_to, payload_digest (``
 (of the full payload, also for revisits), payload (null for revisits).
 
 Revisits: of records with equal payloads, of at least ``min_bytes``, the one with the largest id is the response and
-the others revisit it.  Payloads are compared by SHA-1 and length.  The largest id is a partially aggregated ``max``,
-and rows meet it in an equi-join whose large partitions Spark can split.
+the others revisit it.  Payloads are compared by SHA-1 and length.  The largest id is a partially aggregated ``max``
+that is written to the shared folder, and rows meet it in an equi-join of two plain shuffles, whose large partitions
+Spark splits: all copies of one common page need not pass through one task.
 
 Defined cases: a null payload is written as an empty one; rows with a null id are responses of their own and have a
-null id when read back; of rows that are equal in id and payload all but one revisit the response; an empty table
-makes an archive without records; rows may have other columns, which are not written.
+null id when read back; of rows that tie in the largest id all are responses; very long payloads
+are written and read whole, one at a time; an empty table makes an archive without records; rows may have other columns,
+which are not written.
 """
 
 from __future__ import annotations
@@ -50,6 +52,8 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
+from quarry.llm import scratch
+
 SCHEMA = "record_id string, record_type string, target_uri string, date string, refers_to string, payload_digest string, payload_length long, payload binary"
 COLUMNS = tuple(c.split()[0] for c in SCHEMA.split(", "))
 HEADER_OF = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "date": "warc-date", "refers_to": "warc-refers-to", "payload_digest": "warc-payload-digest"}
@@ -377,7 +381,9 @@ def archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str =
     rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("length", F.length("payload").cast("long"))
     shared = rows.where((F.col("length") >= min_bytes) & F.col("id").isNotNull())
     groups = shared.groupBy("sha1", "length").agg(F.max("id").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    marked = rows.join(groups, ["sha1", "length"], "left")
+    # written by itself, so that both sides of the join are plain shuffles and a hot payload's partition can be split
+    responses = scratch.materialize(groups, "warc-responses")
+    marked = rows.join(responses.df, ["sha1", "length"], "left")
     revisit = F.col("response").isNotNull() & (F.col("id") != F.col("response"))
     urn = lambda column: F.concat(F.lit("<urn:page:"), F.coalesce(column.cast("string"), F.lit("null")), F.lit(">"))
     out = marked.select(
@@ -391,6 +397,7 @@ def archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str =
         F.when(~F.coalesce(revisit, F.lit(False)), F.col("payload")).alias("payload"),
     )
     out.write.format("warc").option("compress", str(compress).lower()).mode("append").save(path)
+    responses.drop()
 
 
 def _base32(hex_digest):
