@@ -1,13 +1,14 @@
 """Personal data in texts, by expressions only: patterns propose, checksums confirm, context scores.
 
 Patterns propose spans.  Spark returns matches without places, so a text is both matched and split by each pattern, and
-running lengths of the pieces between the matches give every span's start in code points.  Validators confirm: parts
+running lengths of the pieces between the matches give every span's start in code points; these sums run in blocks,
+so that a text of very many numbers takes time in proportion to its length.  Validators confirm: parts
 of addresses up to 255, Luhn for cards, mod-97 for IBANs, digit counts for phones.  A span's score starts from its kind,
 and words near it (``WINDOW`` characters to either side) raise it; kinds that a pattern alone cannot tell from other
 numbers need such words to pass ``MIN_SCORE``.
 
 The base kinds (email, ip, card, phone) are leftmost, non-overlapping matches whose failures are dropped without
-another try; they stay whatever their score.  The added kinds are ``iban`` (mod-97) and ``ssn`` (context words).  A
+another try; they stay whatever their score.  Spans that start together are ordered by kind as listed.  The added kinds are ``iban`` (mod-97) and ``ssn`` (context words).  A
 possessive quantifier or a look-behind in a pattern only saves repeated scans of a run: it never changes the matches.
 
 Work is per row, without shuffles, and every document is handled alike.
@@ -26,6 +27,10 @@ from pyspark.sql import functions as F
 WINDOW = 40
 MIN_SCORE = 0.5
 CONTEXT_BOOST = 0.35
+#: Numbers whose sums run in one array.
+BLOCK = 256
+#: Characters of a chunk, from which the words near a span are read.
+CHUNK = 1024
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
@@ -107,32 +112,71 @@ KINDS = (
 )
 
 
-def _spans(text: Column, kind: Kind, order: int) -> Column:
-    """Confirmed spans of one kind, in order of their starts."""
-    matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    gaps = F.split(text, kind.pattern, -1)
-    none = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,match:string>>").alias("spans"))
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _blocks(numbers: Column) -> Column:
+    """The array cut into arrays of ``BLOCK``."""
+    return F.transform(
+        F.when(F.size(numbers) > 0, F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>")),
+        lambda b: F.slice(numbers, b * BLOCK + 1, F.lit(BLOCK)),
+    )
+
+
+def _sums_before(numbers: Column) -> Column:
+    """For each number, the sum of those before it.  An array grows by copying, so sums run within blocks, and over the
+    blocks' totals."""
+
+    def run(part: Column) -> Column:
+        return F.aggregate(part, F.array(F.lit(0)), lambda sums, x: F.concat(sums, F.array(F.element_at(sums, -1) + x)))
+
+    def shifted(inside: Column, by: Column) -> Column:
+        return F.transform(F.slice(inside, F.lit(1), F.size(inside) - 1), lambda x: x + by)
 
-    def place(state: Column, pair: Column) -> Column:
-        start = state["end"] + F.length(pair["gap"])
-        spans = F.concat(state["spans"], F.array(F.struct(start.alias("start"), pair["match"].alias("match"))))
-        return F.struct((start + F.length(pair["match"])).alias("end"), spans.alias("spans"))
+    def joined(inner: Column) -> Column:
+        totals = F.transform(inner, lambda sums: F.element_at(sums, -1))
+        return F.flatten(F.zip_with(inner, F.slice(run(totals), F.lit(1), F.size(inner)), shifted))
 
-    pairs = F.zip_with(matches, F.slice(gaps, F.lit(1), F.size(matches)), lambda m, g: F.struct(m.alias("match"), g.alias("gap")))
-    placed = F.aggregate(pairs, none, place, lambda state: state["spans"])
-    confirmed = placed if kind.confirm is None else F.filter(placed, lambda s: kind.confirm(s["match"]))
+    return _let(F.transform(_let(numbers, _blocks), run), joined)
+
+
+def _piece(chunks: Column, start: Column, length: Column) -> Column:
+    """Characters of the text that the chunks make up, at most ``CHUNK`` of them; the text itself would be walked from
+    its beginning for every span."""
+    at = F.floor(start / CHUNK).cast("int")
+    two = F.concat(F.coalesce(F.get(chunks, at), F.lit("")), F.coalesce(F.get(chunks, at + 1), F.lit("")))
+    return F.substr(two, (start - at * CHUNK + 1).cast("int"), length)
+
+
+def _spans(text: Column, chunks: Column, kind: Kind, order: int) -> Column:
+    """Confirmed spans of one kind, in order of their starts.  The work is linear in the text, but for its running sums."""
+
+    def placed(found: Column) -> Column:
+        """found: matches, and the gaps before them."""
+        steps = F.zip_with(found["matches"], found["gaps"], lambda m, g: F.length(m) + F.length(g))
+        spans = F.zip_with(
+            found["matches"],
+            F.zip_with(_sums_before(steps), found["gaps"], lambda before, g: before + F.length(g)),
+            lambda m, start: F.struct(start.alias("start"), m.alias("match")),
+        )
+        return spans if kind.confirm is None else F.filter(spans, lambda s: kind.confirm(s["match"]))
 
     def scored(span: Column) -> Column:
         end = span["start"] + F.length(span["match"])
-        before = F.substr(text, F.greatest(span["start"] - WINDOW + 1, F.lit(1)), F.least(span["start"], F.lit(WINDOW)))
-        near = F.lower(F.concat(before, F.lit(" "), F.substr(text, end + 1, F.lit(WINDOW))))
+        before = _piece(chunks, F.greatest(span["start"] - WINDOW, F.lit(0)), F.least(span["start"], F.lit(WINDOW)))
+        near = F.lower(F.concat(before, F.lit(" "), _piece(chunks, end, F.lit(WINDOW))))
         score = F.lit(kind.score) + F.when(near.rlike(kind.context), F.lit(CONTEXT_BOOST)).otherwise(F.lit(0.0))
         return F.struct(
             span["start"].cast("int").alias("start"), F.lit(order).alias("order"), end.cast("int").alias("end"),
             F.lit(kind.name).alias("kind"), span["match"].alias("match"), score.alias("score"),
         )
 
-    out = F.transform(confirmed, scored)
+    matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+    # the last piece of the split stands after the last match
+    gaps = _let(F.split(text, kind.pattern, -1), lambda g: F.slice(g, F.lit(1), F.size(g) - 1))
+    out = F.transform(_let(F.struct(matches.alias("matches"), gaps.alias("gaps")), placed), scored)
     return out if kind.base else F.filter(out, lambda s: s["score"] >= MIN_SCORE)
 
 
@@ -142,13 +186,18 @@ def find(df: DataFrame, text_col: str = "text", out_col: str = "pii", kinds: tup
         raise ValueError(f"{out_col!r} can't be read and replaced at once")
     text = F.coalesce(F.col(text_col), F.lit(""))
     kind_type = "array<struct<start:int,order:int,end:int,kind:string,match:string,score:double>>"
-    found = []
-    for order, kind in enumerate(kinds):
-        spans = _spans(text, kind, order).cast(kind_type)
-        for needed in kind.needs:
-            spans = F.when(F.contains(text, F.lit(needed)), spans).otherwise(F.array().cast(kind_type))
-        found.append(spans)
-    return df.withColumn(out_col, F.array_sort(F.concat(*found)))
+
+    def all_spans(chunks: Column) -> Column:
+        found = []
+        for order, kind in enumerate(kinds):
+            spans = _spans(text, chunks, kind, order).cast(kind_type)
+            for needed in kind.needs:
+                spans = F.when(F.contains(text, F.lit(needed)), spans).otherwise(F.array().cast(kind_type))
+            found.append(spans)
+        return F.array_sort(F.concat(*found))
+
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    return df.withColumn(out_col, _let(chunks, all_spans))
 
 
 def count(spans: Column, kind: str) -> Column:

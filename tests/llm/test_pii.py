@@ -1,5 +1,7 @@
 import re
+import time
 
+import numpy as np
 import pytest
 
 from quarry.llm import pii
@@ -72,3 +74,17 @@ def test_redaction_and_clashes(spark):
     assert pii.find(df.withColumn("pii", pii.F.lit(1))).columns == ["text", "pii"]
     with pytest.raises(ValueError):
         pii.find(df, out_col="text")
+
+
+def test_very_many_numbers_in_one_text(spark):
+    """Two megabytes of numbers, of which some are cards, with places as a plain search finds them."""
+    rng = np.random.default_rng(4)
+    words = [str(n) if n % 50 else "4111 1111 1111 1111 é" for n in rng.integers(100000, 999999, 300_000).tolist()]
+    text = ", ".join(words)
+    assert len(text) > 2_000_000
+    began = time.monotonic()
+    spans = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["pii"]
+    assert time.monotonic() - began < 60
+    wanted = [m.span() for m in re.finditer("[0-9](?:[ -]?[0-9])+", text) if m.end() - m.start() > 10]
+    assert [(s["start"], s["end"]) for s in spans if s["kind"] == "card"] == wanted
+    assert all(text[s["start"] : s["end"]] == s["match"] for s in spans)
