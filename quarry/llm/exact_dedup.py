@@ -9,11 +9,15 @@ and the directory doubles when a bucket as deep as the directory is split.  A bu
 chaining.  Each bucket is a range of keys and has one owner task, which reads the entries in key order, chains entries
 with the same key, and compares bytes: only identical texts share a chain link.
 
+A key with very many entries is folded first: its entries are dealt to as many tasks as it needs, ``FOLD`` entries each,
+and every task chains its own and hands one entry per text to the owner.  The ``HOT_KEYS`` keys with most entries are
+folded; any other key has less than one in ``HOT_KEYS`` of all entries.
+
 The owner holds one key's chain at a time; collisions are right by comparison, not by trust in the hash.
 
 Defined cases: a null text counts as empty; of equal texts the row with the largest id stays, null ids being the
-smallest; of rows that are equal in id and text one stays, the one with the largest row number; an empty table gives an
-empty table.  Other columns may have any name.
+smallest; of rows that are equal in id and text one stays, the one with the largest row number; very long texts are
+compared whole; an empty table gives an empty table.  Other columns may have any name.
 """
 
 from __future__ import annotations
@@ -32,8 +36,11 @@ from quarry.llm import scratch
 
 #: Text bytes that a bucket takes before it is split.
 BUCKET_BYTES = 16 << 20
-#: The directory has at most 2**MAX_DEPTH slots.
+#: The directory has at most 2**MAX_DEPTH slots, as the driver holds it.  Beyond a terabyte of distinct texts its buckets
+#: grow with them, to some 2 GB at 100 TB, which their owners read as sorted streams.
 MAX_DEPTH = 16
+#: Keys that can be folded before their owner sees them, and entries that a folding task takes of one key.
+HOT_KEYS, FOLD = 1024, 64
 
 _ADDED = [
     T.StructField("__seg_row", T.LongType()),
@@ -144,43 +151,72 @@ def build_directory(entries: DataFrame, capacity: int = BUCKET_BYTES) -> Directo
     prefix = F.shiftrightunsigned("__seg_key", 64 - MAX_DEPTH).alias("prefix")
     found = entries.groupBy(prefix).agg(F.sum(F.octet_length("text") + 64).alias("size")).collect()
     sizes = {r["prefix"]: r["size"] or 0 for r in found}
-    return Directory(sizes, MAX_DEPTH, max(capacity, sum(sizes.values()) >> (MAX_DEPTH - 2)))
+    return Directory(sizes, MAX_DEPTH, max(capacity, sum(sizes.values()) >> MAX_DEPTH))
 
 
 _RESOLVED = "entry long, keep_row long, keep_id long, group_size long"
+_FOLDED = "__seg_key long, __seg_entry long, text string, __seg_count long, __seg_keep_id long, __seg_keep long, into long"
 
 
-def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries in key order to resolved entries.  A chain link: bytes, its entries, count, and the row that stays."""
-    key, links, out = None, [], []
+@dataclass
+class Link:
+    """A chain link: a text, its entries, their count, and the row that stays."""
 
-    def close():
-        for _, entries, count, (_, keep_id, keep_row) in links:
-            out.extend((e, keep_row, keep_id, count) for e in entries)
+    raw: bytes
+    entries: list[int]
+    count: int
+    keep: tuple
 
+
+def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[Link]]]:
+    """Entries in the order of their keys, and of what else is dealt with them, to the chain of each."""
+    key, links = None, []
     for batch in batches:
-        for now, entry, text, count, keep_id, keep_row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for *now, entry, text, count, keep_id, keep_row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if now != key:
-                close()
+                if links:
+                    yield key[0], links
                 key, links = now, []
             raw = normalise(text)
             keep = (keep_id is not None, keep_id, keep_row)
             for link in links:
-                if link[0] == raw:
-                    link[1].append(entry)
-                    link[2] += count
-                    if _later(keep, link[3]):
-                        link[3] = keep
+                if link.raw == raw:
+                    link.entries.append(entry)
+                    link.count += count
+                    if _later(keep, link.keep):
+                        link.keep = keep
                     break
             else:
-                links.append([raw, [entry], count, keep])
+                links.append(Link(raw, [entry], count, keep))
+    if links:
+        yield key[0], links
+
+
+def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries in key order to resolved entries."""
+    out = []
+    for _, links in _chains(batches):
+        for link in links:
+            _, keep_id, keep_row = link.keep
+            out.extend((e, keep_row, keep_id, link.count) for e in link.entries)
         if len(out) > 10_000:
             yield _resolved(out)
             out.clear()
-    close()
     yield _resolved(out)
 
 
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries in the order of key and share to one entry per text, and the entries that went into it."""
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+    for key, links in _chains(batches):
+        rows = []
+        for link in links:
+            first, *others = link.entries
+            rows.append((key, first, link.raw.decode(), link.count, link.keep[1], link.keep[2], first))
+            rows.extend((key, e, None, 0, None, None, first) for e in others)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in _FOLDED.split(", ")])
+
+
 def _later(a: tuple, b: tuple) -> bool:
     if a[0] != b[0]:
         return a[0]
@@ -198,6 +234,7 @@ def _resolve(segments: scratch.Table, id_col: str, text_col: str, capacity: int)
     entries = rows.where(F.col("__seg_row") == F.col("__seg_entry")).select(
         "__seg_key", "__seg_entry", F.col(text_col).alias("text"), "__seg_count", "__seg_keep_id", "__seg_keep"
     )
+    entries, folded = _folded(entries)
     directory = build_directory(entries, capacity)
     owners = directory.owners()
     # at most 2**MAX_DEPTH slots of two numbers: small at any size of the input
@@ -211,7 +248,27 @@ def _resolve(segments: scratch.Table, id_col: str, text_col: str, capacity: int)
         .sortWithinPartitions("__seg_key")
         .drop("owner")
     )
-    return dealt.mapInArrow(_chain, _RESOLVED)
+    resolved = dealt.mapInArrow(_chain, _RESOLVED)
+    if folded is None:
+        return resolved
+    resolved = scratch.materialize(resolved, "exact-resolved").df
+    into = folded.where("`into` != __seg_entry").select(F.col("__seg_entry").alias("was"), F.col("into").alias("entry"))
+    return resolved.union(into.join(resolved, "entry").select(F.col("was").alias("entry"), "keep_row", "keep_id", "group_size"))
+
+
+def _folded(entries: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The entries with those of hot keys folded, and what was folded into what; at most ``HOT_KEYS`` rows come to the
+    driver and are broadcast."""
+    many = entries.groupBy("__seg_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FOLD)
+    hot = many.orderBy(F.desc("n"), "__seg_key").limit(HOT_KEYS).collect()
+    if not hot:
+        return entries, None
+    keys = F.broadcast(entries.sparkSession.createDataFrame([(r["__seg_key"], -(-r["n"] // FOLD)) for r in hot], "__seg_key long, shares long"))
+    own = entries.join(keys, "__seg_key").withColumn("share", F.pmod(F.xxhash64("__seg_entry"), F.col("shares")))
+    dealt = own.select("__seg_key", "share", "__seg_entry", "text", "__seg_count", "__seg_keep_id", "__seg_keep")
+    folded = scratch.materialize(dealt.repartition("__seg_key", "share").sortWithinPartitions("__seg_key", "share").mapInArrow(_fold, _FOLDED), "exact-folded").df
+    rest = entries.join(keys, "__seg_key", "left_anti")
+    return rest.union(folded.where("`into` = __seg_entry").drop("into")), folded
 
 
 def _resolved_rows(df: DataFrame, id_col: str, text_col: str, capacity: int, key_bits: int) -> DataFrame:

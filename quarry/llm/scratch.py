@@ -37,7 +37,8 @@ TEXT_ROWS = 1000
 
 def small_batches(spark: SparkSession) -> None:
     """Texts travel in batches of ``TEXT_ROWS`` rows from now on, unless the session has a setting of its own.  A batch
-    is held several times on its way, so its size bounds the memory of executors and workers."""
+    is held several times on its way, so its size bounds the memory of executors and workers.  Very long texts make
+    smaller batches: Spark closes one at ``spark.sql.execution.arrow.maxBytesPerBatch``, 64 MB by default."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name, "10000") == "10000":
         spark.conf.set(name, str(TEXT_ROWS))

@@ -39,6 +39,20 @@ def test_against_brute_force(spark, key_bits, capacity):
     assert len(kept) == len({r["text_sha256"] for r in got}) and all(r["doc_id"] == r["keep_id"] for r in kept)
 
 
+@pytest.mark.parametrize("key_bits", [64, 1])
+def test_hot_keys_are_folded(spark, monkeypatch, key_bits):
+    """Every key of three entries or more is folded, by two tasks at least; colliding keys included."""
+    monkeypatch.setattr(x, "FOLD", 2)
+    rows = [(d, t if i % 3 else "hot Text", k) for i, (d, t, k) in enumerate(rows_of())]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(40)
+    entries = x.write_segments(df, "doc_id", "text", key_bits).df.where("__seg_row = __seg_entry").select("__seg_key", "__seg_entry", "text", "__seg_count", "__seg_keep_id", "__seg_keep")
+    left, folded = x._folded(entries)
+    assert folded.where("`into` != __seg_entry").count() > 0 and left.count() < entries.count()
+    got = x.assign(df, key_bits=key_bits).collect()
+    assert sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got), key=repr) == brute(rows)
+    assert sum(r["kept"] for r in got) == len({r["text_sha256"] for r in got})
+
+
 def test_rows_that_stay_keep_their_columns(spark):
     df = spark.createDataFrame(rows_of(), SCHEMA).repartition(3)
     left = x.deduplicate(df)
