@@ -1,32 +1,38 @@
 """Removal of repeated passages: every byte that a repeated string of ``width`` bytes covers.
 
 Within a text, longest previous factors come from the suffix order: for a position, the previous and the next smaller
-position in suffix order hold its longest earlier matches.  Positions whose factor reaches ``width`` start a later copy;
-with ``keep_first`` those alone are removed, without it the first copies are removed as well.
+position in suffix order hold its longest earlier matches.  Positions whose factor reaches ``width`` start a later copy,
+and the smaller position that the factor was found at starts an earlier one.  With ``keep_first`` the later copies alone
+are removed, without it the earlier ones as well.
 
 Over a corpus, suffix order is taken within groups of places that hold all copies of what is in them.  The string of
 ``width`` bytes at each position is assigned to its anchor, the ``GRAM``-byte string within it with the smallest hash
 (the leftmost of equals).  Equal strings have equal anchors, so the anchor's hash is a key that brings all copies of a
 string together.  Neighbouring strings mostly share their anchor, and a maximal run of them is one place.
 
-1. Places of all documents, without their bytes, are written once.  Keys with one place hold nothing repeated.
-2. Documents meet the list of their places with repeated keys, and those that have any are written with it.
-3. Places with a key of up to ``GROUP`` places are dealt by key with their bytes.  Equal contents are one; different
+1. Equal texts are one text, known by 128 bits of its SHA-256, with the number of its copies.  A text with two copies
+   repeats as a whole; what it shares with other texts is found with one of its copies.
+2. Places of all texts, without their bytes, are written once.  Keys with one place hold nothing repeated.
+3. Texts meet the list of their places with repeated keys, and those that have any are written with it.
+4. Places with a key of up to ``GROUP`` places are dealt by key with their bytes.  Equal contents are one; different
    contents of a key go into one suffix order with the rest of the task's batch.
-4. Keys with more places are hot.  Of their contents only one copy each goes on; their strings are hashed one by one (128
-   bits), counted with partial aggregation, and matched by hash in a join whose large partitions Spark can split.  So a
-   passage that a third of all documents share is never gathered in one task.
-5. Intervals are merged by document, and the bytes that remain are the result.
-
-Documents are told apart by id and a hash of the text, so repeated rows are copies of each other like any others.
-
-Defined cases: a null text counts as empty; texts shorter than ``width`` have no repeated strings; matches never cross
-documents; repeated rows all lose their bytes (with ``keep_first``, of rows that are equal in id and text all stay or
-all go); null ids are told apart by their texts; an empty table gives an empty table; other columns are not read.
+5. Keys with more places are hot, and a suffix order of theirs would not fit one task.  Of equal contents (128-bit hash
+   within the 64-bit key) only one goes on; its strings are told apart by 128 bits of BLAKE2b, counted with partial
+   aggregation, and matched in a join whose large partitions Spark can split.  So a passage that a third of all documents
+   share is never gathered in one task.  Bytes are not compared there: among 10**12 strings, the chance of any two that
+   differ and share a hash is below 10**-14.
+6. Intervals are merged by text, and the bytes that remain are the result of every document with that text.
+
+Defined cases: a null text counts as empty; texts shorter than ``width`` have no repeated strings; very long texts are cut
+into overlapping parts to find places, and strings across parts are found; matches never cross documents; repeated rows
+all lose their bytes (with ``keep_first``, of equal texts those with the smallest id keep theirs); a null id is the
+smallest; copies that tie in id stand in the order of their texts' hashes; an empty table gives an empty table; other
+columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,7 +106,8 @@ def repeated_starts(raw: np.ndarray, valid: np.ndarray, width: int, keep_first:
     """Which valid positions start a string of ``width`` bytes that starts at another valid position too.
 
     The longest previous factor of a position is its match with the previous or the next smaller position in suffix
-    order.  It reaches ``width`` where one of the two shares the position's rank."""
+    order.  It reaches ``width`` where one of the two shares the position's rank; that one starts the earlier copy.
+    Positions without such a neighbour in suffix order have shorter factors, which are not computed."""
     out = np.zeros(len(raw), bool)
     ranks = prefix_ranks(raw, width)
     places = np.flatnonzero(valid)
@@ -111,11 +118,12 @@ def repeated_starts(raw: np.ndarray, valid: np.ndarray, width: int, keep_first:
         return out
     before, after = smaller_neighbours(order, among)
     own = ranks[order[among]]
-    later = np.zeros(len(among), bool)
     for side, end in ((before, -1), (after, len(order))):
-        there = side != end
-        later[there] |= ranks[order[side[there]]] == own[there]
-    out[order[among[later]] if keep_first else order[among]] = True
+        there = np.flatnonzero(side != end)
+        long_enough = there[ranks[order[side[there]]] == own[there]]
+        out[order[among[long_enough]]] = True
+        if not keep_first:
+            out[order[side[long_enough]]] = True
     return out
 
 
@@ -180,7 +188,7 @@ def _parts(texts: list[bytes], width: int) -> Iterator[tuple[bytes, list[tuple[i
 
 
 def _find_places(texts: list[bytes], width: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(text, first string, count, key, content hash) of all places."""
+    """(text, first string, count, key, two halves of the content's hash) of all places."""
     import xxhash
 
     for joined, pieces in _parts(texts, width):
@@ -190,8 +198,8 @@ def _find_places(texts: list[bytes], width: int) -> Iterator[tuple[np.ndarray, .
         at, count, key = places(raw, ends - length, ends, width)
         piece = np.searchsorted(ends, at, side="right")
         stops = at + count - 1 + width
-        content = np.array([xxhash.xxh3_64_intdigest(joined[a:b]) for a, b in zip(at.tolist(), stops.tolist(), strict=True)], np.uint64)
-        yield which[piece], at - (ends - length)[piece] + offset[piece], count, key, content
+        content = np.frombuffer(b"".join(xxhash.xxh3_128_digest(joined[a:b]) for a, b in zip(at.tolist(), stops.tolist(), strict=True)), np.int64).reshape(-1, 2)
+        yield which[piece], at - (ends - length)[piece] + offset[piece], count, key, content[:, 0], content[:, 1]
 
 
 def _runs(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
@@ -205,17 +213,20 @@ def _runs(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
 
 # --- corpus --------------------------------------------------------------------------------------------------------
 
-_INTERVAL = "did long, th int, s int, e int"
+_INTERVAL = "h1 long, h2 long, s int, e int"
 
 
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, did, h1, h2, text): did orders copies, h1 and h2 are the first 128 bits of the text's SHA-256."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("did"), F.hash(text).alias("th"), text.alias("text"))
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("did"), text.alias("text"))
+    half = lambda at: F.conv(F.substring(F.sha2(F.col("text").cast("binary"), 256), at, 16), 16, -10).cast("long")
+    return rows.select("id", "did", half(1).alias("h1"), half(17).alias("h2"), "text")
 
 
 def _intervals(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
-    did, th, s, e = zip(*rows, strict=True) if rows else ([], [], [], [])
-    return pa.RecordBatch.from_arrays([pa.array(did, pa.int64()), pa.array(th, pa.int32()), pa.array(s, pa.int32()), pa.array(e, pa.int32())], names=["did", "th", "s", "e"])
+    h1, h2, s, e = zip(*rows, strict=True) if rows else ([], [], [], [])
+    return pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32())], names=["h1", "h2", "s", "e"])
 
 
 def _cold(width: int, keep_first: bool):
@@ -223,7 +234,7 @@ def _cold(width: int, keep_first: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int, int, int]] = []
-        contents: list[tuple[bytes, list[tuple[int, int, int]]]] = []
+        contents: list[tuple[bytes, list[tuple[int, int, int, int]]]] = []
         size = 0
         key, group = None, {}
 
@@ -232,7 +243,7 @@ def _cold(width: int, keep_first: bool):
             if len(group) == 1:
                 (text, where), = group.items()
                 where.sort()
-                out.extend((d, t, s, s + len(text)) for d, t, s in where[keep_first:] if len(where) > 1)
+                out.extend((h1, h2, s, s + len(text)) for _, h1, h2, s in where[keep_first:] if len(where) > 1)
             else:
                 for text, where in group.items():
                     where.sort()
@@ -252,22 +263,22 @@ def _cold(width: int, keep_first: bool):
             at = 0
             for (text, where), end in zip(contents, ends.tolist(), strict=True):
                 own = _runs(np.flatnonzero(found[at:end]), width)
-                for i, (d, t, s) in enumerate(where):
+                for i, (_, h1, h2, s) in enumerate(where):
                     # a content that occurs twice repeats as a whole; its first occurrence only as the order says
                     spans = own if len(where) == 1 or keep_first and i == 0 else [(0, len(text))]
-                    out.extend((d, t, s + a, s + b) for a, b in spans)
+                    out.extend((h1, h2, s + a, s + b) for a, b in spans)
                 at = end
             contents.clear()
             size = 0
 
         for batch in batches:
-            for k, d, t, s, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k, d, h1, h2, s, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if k != key:
                     close()
                     if size >= ORDER_BYTES:
                         order()
                     key = k
-                group.setdefault(content, []).append((d, t, s))
+                group.setdefault(content, []).append((d, h1, h2, s))
             if len(out) > 50_000:
                 yield _intervals(out)
                 out.clear()
@@ -279,81 +290,91 @@ def _cold(width: int, keep_first: bool):
     return run
 
 
-def removed_intervals(docs: DataFrame, width: int = WIDTH, keep_first: bool = False) -> tuple[DataFrame, scratch.Table]:
-    """docs (did, th, text).  Intervals (did, th, s, e) to remove, which may overlap, and the table of the documents
-    that have places with repeated keys."""
+def removed_intervals(docs: DataFrame, units: DataFrame, width: int = WIDTH, keep_first: bool = False) -> tuple[DataFrame, scratch.Table]:
+    """docs (did, h1, h2, text), units (h1, h2, did): its distinct texts.  Intervals (h1, h2, s, e) to remove, which may
+    overlap, and the table of the texts that have places with repeated keys."""
 
     scratch.small_batches(docs.sparkSession)
+    docs = docs.where(F.octet_length("text") >= width).select("did", "h1", "h2", "text")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            did, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            texts = [t.encode() for t in batch.column(2).to_pylist()]
-            for which, start, count, key, content in _find_places(texts, width):
-                columns = [did[which], th[which], start.astype(np.int32), count.astype(np.int32), key.view(np.int64), content.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["did", "th", "start", "n", "key", "content"])
-
-    schema = "did long, th int, start int, n int, key long, content long"
-    found = scratch.materialize(docs.select("did", "th", "text").mapInArrow(find, schema), "places")
+            both = np.column_stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
+            first = np.sort(np.unique(both, axis=0, return_index=True)[1])
+            texts = [t.as_py().encode() for t in batch.column(2).take(pa.array(first))]
+            h1, h2 = both[first].T
+            for which, start, count, *hashes in _find_places(texts, width):
+                columns = [h1[which], h2[which], start.astype(np.int32), count.astype(np.int32), *(h.view(np.int64) for h in hashes)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["h1", "h2", "start", "n", "key", "c1", "c2"])
+
+    schema = "h1 long, h2 long, start int, n int, key long, c1 long, c2 long"
+    found = scratch.materialize(docs.select("h1", "h2", "text").mapInArrow(find, schema), "places")
+    # copies of a text have the same places, so that only keys with two different ones hold something repeated
+    ends = [f(c).alias(f"{name}_{c}") for name, f in (("lo", F.min), ("hi", F.max)) for c in ("h1", "h2", "start")]
+    differ = F.lit(False)
+    for c in ("h1", "h2", "start"):
+        differ |= F.col(f"lo_{c}") != F.col(f"hi_{c}")
     # written by itself, so that both sides of the join are plain shuffles whose hot partitions can be split
-    keys = scratch.materialize(found.df.groupBy("key").agg(F.count(F.lit(1)).alias("places")).where("places > 1"), "repeated-keys")
+    keys = scratch.materialize(found.df.groupBy("key").agg(F.count(F.lit(1)).alias("places"), *ends).where(differ).select("key", "places"), "repeated-keys")
     repeated = scratch.materialize(found.df.join(keys.df, "key"), "repeated-places")
     found.drop()
     keys.drop()
     hot = repeated.df.where(F.col("places") > GROUP)
-    first = F.min(F.struct("did", "th", "start")).alias("first")
-    contents = scratch.materialize(hot.groupBy("key", "content").agg(F.count(F.lit(1)).alias("copies"), first), "hot-contents")
-    is_first = F.struct("did", "th", "start") == F.col("first")
-    kind = F.when(F.col("copies") == 1, STRINGS).when(is_first, STRINGS if keep_first else WHOLE_AND_STRINGS).otherwise(WHOLE)
-    marked = hot.join(contents.df, ["key", "content"]).select("did", "th", "start", "n", "key", kind.alias("kind"))
-    cold = repeated.df.where(F.col("places") <= GROUP).select("did", "th", "start", "n", "key", F.lit(COLD).alias("kind"))
-    lists = cold.union(marked).groupBy("did", "th").agg(F.collect_list(F.struct("start", "n", "key", "kind")).alias("places"))
-    with_places = scratch.materialize(docs.select("did", "th", "text").join(lists, ["did", "th"]), "documents-with-places")
+    if keep_first:
+        hot = hot.join(units.select("h1", "h2", "did"), ["h1", "h2"])
+    place = F.struct(*(["did"] if keep_first else []), "h1", "h2", "start")
+    first = F.min(place).alias("first")
+    contents = scratch.materialize(hot.groupBy("key", "c1", "c2").agg(F.count(F.lit(1)).alias("copies"), first), "hot-contents")
+    kind = F.when(F.col("copies") == 1, STRINGS).when(place == F.col("first"), STRINGS if keep_first else WHOLE_AND_STRINGS).otherwise(WHOLE)
+    marked = hot.join(contents.df, ["key", "c1", "c2"]).select("h1", "h2", "start", "n", "key", kind.alias("kind"))
+    cold = repeated.df.where(F.col("places") <= GROUP).select("h1", "h2", "start", "n", "key", F.lit(COLD).alias("kind"))
+    lists = cold.union(marked).groupBy("h1", "h2").agg(F.collect_set(F.struct("start", "n", "key", "kind")).alias("places"))
+    texts = docs.groupBy("h1", "h2").agg(F.min("did").alias("did"), F.first("text").alias("text"))
+    with_places = scratch.materialize(texts.join(lists, ["h1", "h2"]), "texts-with-places")
     repeated.drop()
     contents.drop()
 
     def unpack(batch: pa.RecordBatch) -> Iterator[tuple]:
-        for d, t, text, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            yield d, t, text.encode(), own
+        for h1, h2, did, text, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            yield h1, h2, did, text.encode(), own
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
         for batch in batches:
             for at in range(0, len(batch), 256):
-                rows = [(p["key"], d, t, p["start"], text[p["start"] : p["start"] + p["n"] - 1 + width]) for d, t, text, own in unpack(batch.slice(at, 256)) for p in own if p["kind"] == COLD]
+                rows = [(p["key"], did, h1, h2, p["start"], text[p["start"] : p["start"] + p["n"] - 1 + width]) for h1, h2, did, text, own in unpack(batch.slice(at, 256)) for p in own if p["kind"] == COLD]
                 if rows:
-                    columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)]
-                    yield pa.RecordBatch.from_arrays(columns, names=["key", "did", "th", "start", "bytes"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "did", "h1", "h2", "start", "bytes"])
 
     def wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for d, t, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows = [(d, t, p["start"], p["start"] + p["n"] - 1 + width) for p in own if p["kind"] in (WHOLE, WHOLE_AND_STRINGS)]
+            for h1, h2, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows = [(h1, h2, p["start"], p["start"] + p["n"] - 1 + width) for p in own if p["kind"] in (WHOLE, WHOLE_AND_STRINGS)]
                 if rows:
                     yield _intervals(rows)
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in batches:
-            for d, t, text, own in unpack(batch):
+            for h1, h2, did, text, own in unpack(batch):
                 at = [s for p in own if p["kind"] in (STRINGS, WHOLE_AND_STRINGS) for s in range(p["start"], p["start"] + p["n"])]
                 if at:
-                    both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(text[s : s + width]) for s in at), np.int64).reshape(-1, 2)
-                    columns = [pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array([d] * len(at), pa.int64()), pa.array([t] * len(at), pa.int32()), pa.array(at, pa.int32())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "did", "th", "s"])
+                    both = np.frombuffer(b"".join(hashlib.blake2b(text[s : s + width], digest_size=16).digest() for s in at), np.int64).reshape(-1, 2)
+                    same = [pa.array(np.full(len(at), x, np.int64)) for x in (did if keep_first else 0, h1, h2)]
+                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), *same, pa.array(at, pa.int32())], names=["b1", "b2", "did", "h1", "h2", "s"])
 
-    dealt = with_places.df.mapInArrow(contexts, "key long, did long, th int, start int, bytes binary").repartition("key").sortWithinPartitions("key")
+    dealt = with_places.df.mapInArrow(contexts, "key long, did long, h1 long, h2 long, start int, bytes binary").repartition("key").sortWithinPartitions("key")
     parts = [dealt.mapInArrow(_cold(width, keep_first), _INTERVAL)]
     is_hot = F.exists("places", lambda p: p["kind"] != COLD)
-    hot_docs = with_places.df.where(is_hot)
-    parts.append(hot_docs.select("did", "th", "places").mapInArrow(wholes, _INTERVAL))
-    single = scratch.materialize(hot_docs.mapInArrow(strings, "h1 long, h2 long, did long, th int, s int"), "hot-strings")
-    counts = (F.count(F.lit(1)).alias("n"), F.min(F.struct("did", "th", "s")).alias("first"))
-    counted = scratch.materialize(single.df.groupBy("h1", "h2").agg(*counts).where("n > 1"), "hot-repeated")
-    again = single.df.join(counted.df, ["h1", "h2"])
+    hot_texts = with_places.df.where(is_hot)
+    parts.append(hot_texts.select("h1", "h2", "places").mapInArrow(wholes, _INTERVAL))
+    single = scratch.materialize(hot_texts.mapInArrow(strings, "b1 long, b2 long, did long, h1 long, h2 long, s int"), "hot-strings")
+    where = F.struct("did", "h1", "h2", "s")
+    counts = [F.count(F.lit(1)).alias("n"), *([F.min(where).alias("first")] if keep_first else [])]
+    counted = scratch.materialize(single.df.groupBy("b1", "b2").agg(*counts).where("n > 1"), "hot-repeated")
+    again = single.df.join(counted.df, ["b1", "b2"])
     if keep_first:
-        again = again.where(F.struct("did", "th", "s") != F.col("first"))
-    parts.append(again.select("did", "th", "s", (F.col("s") + width).alias("e")))
+        again = again.where(where != F.col("first"))
+    parts.append(again.select("h1", "h2", "s", (F.col("s") + width).alias("e")))
     out = parts[0]
     for part in parts[1:]:
         out = out.union(part)
@@ -361,8 +382,8 @@ def removed_intervals(docs: DataFrame, width: int = WIDTH, keep_first: bool = Fa
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(did, th, text, intervals) to the maximal removed runs and the bytes that remain."""
-    names = ["did", "th", "n_removed", "spans", "kept"]
+    """(h1, h2, text, intervals) to the maximal removed runs and the bytes that remain."""
+    names = ["h1", "h2", "n_removed", "spans", "kept"]
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
     for batch in batches:
         removed, spans, kept = [], [], []
@@ -383,22 +404,50 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(kept, pa.binary())], names=names)
 
 
+def _changed(docs: DataFrame, width: int, keep_first: bool) -> tuple[DataFrame, DataFrame]:
+    """The distinct texts (h1, h2, did, copies), and those of them that lose bytes to others or to themselves:
+    (h1, h2, n_removed, spans, kept)."""
+    counted = docs.groupBy("h1", "h2").agg(F.min("did").alias("did"), F.count(F.lit(1)).alias("copies"))
+    units = scratch.materialize(counted, "distinct-texts").df
+    found, with_places = removed_intervals(docs, units, width, keep_first)
+    lists = found.groupBy("h1", "h2").agg(F.collect_set(F.struct("s", "e")).alias("intervals"))
+    joined = with_places.df.select("h1", "h2", "text").join(lists, ["h1", "h2"])
+    return units, joined.mapInArrow(_merged, "h1 long, h2 long, n_removed long, spans array<struct<start:int,end:int>>, kept binary")
+
+
+def _with_results(docs: DataFrame, units: DataFrame, results: DataFrame, width: int, keep_first: bool) -> DataFrame:
+    """docs with the results of their texts, and whether the whole text goes as a copy of an equal one."""
+    table = scratch.materialize(units.withColumnRenamed("did", "first_did").join(results, ["h1", "h2"], "left"), "text-results")
+    whole = (F.col("copies") > 1) & (F.col("n_bytes") >= width)
+    if keep_first:
+        whole &= F.col("did") != F.col("first_did")
+    return docs.join(table.df, ["h1", "h2"]).withColumn("whole", whole)
+
+
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, keep_first: bool = False) -> DataFrame:
-    """One row per document that loses bytes: did, th, n_removed, spans (start, end) and kept (binary)."""
-    found, with_places = removed_intervals(_keyed(df, id_col, text_col), width, keep_first)
-    lists = found.groupBy("did", "th").agg(F.collect_set(F.struct("s", "e")).alias("intervals"))
-    joined = with_places.df.select("did", "th", "text").join(lists, ["did", "th"])
-    return joined.mapInArrow(_merged, "did long, th int, n_removed long, spans array<struct<start:int,end:int>>, kept binary")
+    """One row per document: its id, n_bytes, n_removed, spans (start, end; in bytes) and kept (binary)."""
+    docs = _keyed(df, id_col, text_col)
+    units, changed = _changed(docs, width, keep_first)
+    every = docs.withColumn("n_bytes", F.octet_length("text").cast("long"))
+    span = F.struct(F.lit(0).alias("start"), F.col("n_bytes").cast("int").alias("end"))
+    return _with_results(every, units, changed, width, keep_first).select(
+        F.col("id").alias(id_col), "n_bytes",
+        F.when(F.col("whole"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(F.col("whole"), F.array(span)).otherwise(F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>"))).alias("spans"),
+        F.when(F.col("whole"), F.lit("").cast("binary")).otherwise(F.coalesce("kept", F.col("text").cast("binary"))).alias("kept"),
+    )
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, keep_first: bool = False) -> DataFrame:
-    """One row per document: its id, n_bytes, n_removed, n_spans and kept_sha256."""
-    changed = remove_repeats(df, id_col, text_col, width, keep_first).select("did", "th", "n_removed", F.size("spans").alias("n_spans"), F.sha2("kept", 256).alias("sha256"))
-    # rows that are equal in id and text have the same result
-    changed = changed.groupBy("did", "th").agg(*(F.max(c).alias(c) for c in ("n_removed", "n_spans", "sha256")))
-    every = _keyed(df, id_col, text_col).select("id", "did", "th", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("all_sha256"))
-    zero = F.lit(0)
-    return every.join(changed, ["did", "th"], "left").select(
-        F.col("id").alias(id_col), "n_bytes", F.coalesce("n_removed", zero).cast("long").alias("n_removed"),
-        F.coalesce("n_spans", zero).cast("long").alias("n_spans"), F.coalesce("sha256", "all_sha256").alias("kept_sha256"),
+    """One row per document: its id, n_bytes, n_removed, n_spans and kept_sha256; texts are not moved for it."""
+    docs = _keyed(df, id_col, text_col)
+    units, changed = _changed(docs, width, keep_first)
+    short = changed.select("h1", "h2", "n_removed", F.size("spans").alias("n_spans"), F.sha2("kept", 256).alias("sha256"))
+    every = docs.select("id", "did", "h1", "h2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("all_sha256"))
+    zero, nothing = F.lit(0), F.sha2(F.lit("").cast("binary"), 256)
+    return _with_results(every, units, short, width, keep_first).select(
+        F.col("id").alias(id_col), "n_bytes",
+        F.when(F.col("whole"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", zero)).cast("long").alias("n_removed"),
+        F.when(F.col("whole"), F.lit(1)).otherwise(F.coalesce("n_spans", zero)).cast("long").alias("n_spans"),
+        F.when(F.col("whole"), nothing).otherwise(F.coalesce("sha256", "all_sha256")).alias("kept_sha256"),
     )

@@ -65,6 +65,25 @@ def test_nulls_and_repeated_rows(spark):
     assert s.digests(df.where("false")).count() == 0
 
 
+def test_many_equal_rows_and_null_ids(spark):
+    """Two hundred equal rows without an id list their places once; texts without ids are told apart."""
+    rng = random.Random(5)
+    prose = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    hot, shared = prose(900), prose(300)
+    rows = [(None, hot)] * 200 + [(None, prose(305)) for _ in range(50)] + [(None, prose(40) + shared), (4, shared + prose(60)), (5, hot[100:400] + prose(50))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    docs = s._keyed(df, "doc_id", "text")
+    units = docs.groupBy("h1", "h2").agg({"did": "min"}).withColumnRenamed("min(did)", "did")
+    _, with_places = s.removed_intervals(docs, units)
+    assert with_places.df.count() == 4
+    assert max(len(r["places"]) for r in with_places.df.collect()) < 60
+    wanted = brute(list(enumerate(t.encode() for _, t in rows)), 200)
+    by_text = {(len(t), hashlib.sha256(t.encode()).hexdigest()): wanted[i] for i, (_, t) in enumerate(rows)}
+    got = s.remove_repeats(df).collect()
+    assert sorted((r["n_bytes"], r["n_removed"], len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) for r in got) == sorted(wanted.values())
+    assert len(by_text) == 54
+
+
 @pytest.mark.parametrize("width", [1, 3, 8, 21])
 def test_ranks_order_prefixes(width):
     raw = np.frombuffer(bytes(random.Random(width).choice(b"ab\0") for _ in range(300)), np.uint8)
