@@ -78,14 +78,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm import token_counts
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = token_counts.count_tokens(docs, tokenizer_path("byte_bpe_50k.json"), split_pattern())
-    return counted.select(
-        "doc_id",
-        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
-        "n_tokens",
-        (F.col("n_tokens") > 1024).alias("over_limit"),
-    )
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
+    docs = table(spark, sf_dir, "documents").select("doc_id", n_bytes, "text")
+    counted = token_counts.count_tokens(docs, tokenizer_path("byte_bpe_50k.json"), split_pattern(), keep_text=False)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

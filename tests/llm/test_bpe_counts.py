@@ -101,3 +101,21 @@ def test_ranks_without_gaps():
 
 def test_columns_pass_through(spark, docs):
     assert bpe.encode(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).where(F.col("ids_of") == "x").count() == len(TEXTS)
+
+
+def test_counts_by_slices_and_buckets(spark, monkeypatch):
+    """Slices of a few texts, with nearly all pre-tokens counted in buckets; repeated rows, nulls and a long text."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_counts, "FREQUENT", 2)
+    monkeypatch.setattr(token_counts, "SLICE_BYTES", 500)
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdeé ü1$\n") for _ in range(rng.randint(1, 12)))
+    texts = [t for _, t in TEXTS] + [" the".join(word() for _ in range(rng.randint(0, 60))) for _ in range(120)]
+    texts += [None, "", "same words", "same words", " ".join(word() for _ in range(30_000)), "z" * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "n_bytes long, text string").repartition(3)
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rows = token_counts.count_tokens(df, P.path("byte_bpe_50k.json"), P.PATTERN, keep_text=False).collect()
+    assert [tuple(r) for r in sorted(rows)] == [(i, len(t.encode(x or "", add_special_tokens=False).ids)) for i, x in enumerate(texts)]
