@@ -113,7 +113,10 @@ def _counter(spec: str, pattern: str) -> PieceCounter:
 
 def frequent_pretokens(texts: DataFrame, spec, pattern: str) -> list[str]:
     """The pre-tokens that are most frequent in a sample of the texts (text); at most ``FREQUENT`` come to the driver."""
-    sample = texts.orderBy(F.xxhash64("text"), F.length("text")).limit(SAMPLE_ROWS)
+    # the distinct texts with the smallest hashes; only hashes are ordered
+    hashed = texts.where("text is not null").withColumn("h", F.xxhash64("text"))
+    last = hashed.select("h").distinct().orderBy("h").limit(SAMPLE_ROWS).agg(F.max("h")).first()[0]
+    sample = hashed.where(F.col("h") <= F.lit(last)).groupBy("h").agg(F.first("text").alias("text")).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(spec.value, pattern)
