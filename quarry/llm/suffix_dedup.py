@@ -44,8 +44,8 @@ from quarry.llm import scratch
 
 WIDTH = 200
 GRAM = 32
-#: Places of one key that are compared in one suffix order.
-GROUP = 256
+#: Places of one key that are compared in one suffix order: with some 400 bytes each they fit ``ORDER_BYTES``.
+GROUP = 4096
 #: Bytes of text whose places are found together; longer texts are cut into overlapping parts.
 PART_BYTES = 1 << 18
 #: Bytes that go into one suffix order.
