@@ -422,21 +422,70 @@ def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], similari
     return shingles[np.argsort(weight, kind="stable")[: prefix_length(len(shingles), similarity)]]
 
 
+def _reach(size: np.ndarray, at: np.ndarray, similarity: float) -> np.ndarray:
+    """The size of the largest set that can be similar to a set of this size, if the first shingle that the two share
+    stands at this place in its order: from there on it must hold all that they share."""
+    share = similarity / (1 + similarity)
+    return np.floor((size - at) / share - size + 1e-6)
+
+
+def _cross(node: np.ndarray, size: np.ndarray, at: np.ndarray, component: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows that share a shingle to pairs of nodes of two components that may be similar.  Rows of the largest component
+    are not held against each other; each other row meets the range of sizes that it can be similar to."""
+    order = np.argsort(size, kind="stable")
+    node, size, at, component = node[order], size[order], at[order], component[order]
+    reach = _reach(size, at, similarity)
+    names, counts = np.unique(component, return_counts=True)
+    others = np.flatnonzero(component != names[np.argmax(counts)])
+    is_other = np.zeros(len(node), bool)
+    is_other[others] = True
+    lo = np.searchsorted(size, np.ceil(similarity * size[others] - 1e-6), side="left")
+    hi = np.searchsorted(size, np.minimum(np.floor(size[others] / similarity + 1e-6), reach[others]), side="right")
+    many = np.maximum(hi - lo, 0)
+    start = 0
+    ends = np.cumsum(many)
+    while start < len(others):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS_AT_ONCE, side="right")))
+        own = many[start:stop]
+        x = np.repeat(others[start:stop], own)
+        y = np.repeat(lo[start:stop] - np.cumsum(own) + own, own) + np.arange(own.sum())
+        keep = (component[x] != component[y]) & (reach[y] >= size[x]) & ~(is_other[y] & (y < x))
+        yield np.minimum(node[x[keep]], node[y[keep]]), np.maximum(node[x[keep]], node[y[keep]])
+        start = stop
+
+
 def crossing_pairs(classes: DataFrame, components: DataFrame, similarity: float) -> DataFrame:
     """classes (node, size, prefix), components (vertex, component).  All pairs (a, b) of nodes of two components that may
-    be similar enough."""
+    be similar enough.  A shingle's rows (28 bytes each) meet in one task; shingles of one component only are left out."""
     named = classes.join(components, F.col("node") == F.col("vertex"), "left").select("node", "size", "prefix", F.coalesce("component", "node").alias("component"))
-    rows = named.select("node", "size", "component", F.explode("prefix").alias("shingle"))
+    rows = named.select("node", F.col("size").cast("int").alias("size"), "component", F.posexplode("prefix").alias("at", "shingle"))
     met = scratch.materialize(
         rows.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle"), "met-shingles"
     )
-    kept = scratch.materialize(rows.join(met.df, "shingle"), "met-prefixes")
-    one, two = (kept.df.select("shingle", F.col("node").alias(n), F.col("size").alias(f"n{n}"), F.col("component").alias(f"c{n}")) for n in ("a", "b"))
-    near = (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9)
-    counted = one.join(two, "shingle").where(near).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
-    # of the set whose prefix ends first, all that is shared is among the shared ones of the prefixes or comes after its own
-    most = F.col("shared") + F.greatest(*(F.ceil(similarity * F.col(n) - 1e-9) - 1 for n in ("na", "nb")))
-    return counted.where(most >= similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-9).select("a", "b").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            for a, b in _cross(*columns, similarity):
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            shingle, *columns = (c.to_numpy() for c in batch.columns)
+            cuts = np.flatnonzero(np.diff(shingle)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(shingle)], strict=True):
+                if shingle[lo] != now:
+                    if parts:
+                        yield from close()
+                    now, parts = shingle[lo], []
+                parts.append([c[lo:hi] for c in columns])
+        if parts:
+            yield from close()
+
+    kept = rows.join(met.df, "shingle").select("shingle", "node", "size", "at", "component")
+    return kept.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
