@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: dict[str, SparkSession] = {}
 
@@ -90,6 +91,16 @@ class Table:
         drop(self.spark, self.path)
 
 
+#: Ids that may be sent to every task: 8 MB of them.
+SENT_IDS = 1 << 20
+
+
+def few(table: Table) -> DataFrame:
+    """A table of one column of ids, marked for broadcast if it is counted to have ``SENT_IDS`` rows at most; beyond that
+    the join that reads it shuffles."""
+    return F.broadcast(table.df) if table.df.count() <= SENT_IDS else table.df
+
+
 def materialize(df: DataFrame, label: str) -> Table:
     """Writes ``df`` to the shared folder once; readers start from the files."""
     spark = df.sparkSession

@@ -226,8 +226,8 @@ def assign(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
 # at least as similar as asked become links.
 
 WIDE = 4
-#: Wanted chance that a pair at the threshold meets in a trie.
-RECALL = 0.97
+#: Wanted chance that a pair at the threshold meets in a trie; the exact join finds the others.
+RECALL = 0.5
 
 
 def flip_chance(similarity: float) -> float:
@@ -245,9 +245,20 @@ def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
     return h ^ h >> np.uint64(31)
 
 
+#: Bits of a parity sketch.
+SKETCH = 1024
+
+
+def parity_sketch(hashes: np.ndarray) -> bytes:
+    """A bit per slot, set if an odd number of the hashes fall there: two sets differ in at least as many elements as their
+    sketches differ in bits."""
+    slots = (hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64)
+    return np.packbits(np.bincount(slots, minlength=SKETCH) & 1).tobytes()
+
+
 def wide_fingerprints(df: DataFrame, id_col: str, text_col: str, words: int, common: tuple[np.ndarray, np.ndarray], similarity: float) -> DataFrame:
-    """(id, fp, key, size, prefix): of the distinct shingles, ``WIDE`` 64-bit fingerprints in one binary, a 128-bit hash of
-    the whole set, their number, and those that every similar set shares one of."""
+    """(id, fp, key, size, sketch, prefix): of the distinct shingles, ``WIDE`` 64-bit fingerprints in one binary, a 128-bit
+    hash of the whole set, their number, a parity sketch, and those that every similar set shares one of."""
     scratch.small_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     shared = df.sparkSession.sparkContext.broadcast(common)
@@ -256,17 +267,18 @@ def wide_fingerprints(df: DataFrame, id_col: str, text_col: str, words: int, com
         import xxhash
 
         for batch in batches:
-            fps, keys, sizes, firsts = [], [], [], []
+            fps, keys, sizes, sketches, firsts = [], [], [], [], []
             for text in batch.column(1):
                 distinct = np.unique(shingle_hashes(text.as_py(), words))
                 fps.append(b"".join(fingerprint(_mixed(distinct, w)).to_bytes(8, "little") for w in range(WIDE)))
                 keys.append(xxhash.xxh3_128_digest(distinct.astype("<u8").tobytes()))
                 sizes.append(len(distinct))
+                sketches.append(parity_sketch(distinct))
                 firsts.append(prefix(distinct, shared.value, similarity).view(np.int64))
-            columns = [batch.column(0), pa.array(fps, pa.binary()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "key", "size", "prefix"])
+            columns = [batch.column(0), pa.array(fps, pa.binary()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "key", "size", "sketch", "prefix"])
 
-    return docs.mapInArrow(run, "id long, fp binary, key binary, size long, prefix array<long>")
+    return docs.mapInArrow(run, "id long, fp binary, key binary, size long, sketch binary, prefix array<long>")
 
 
 def _orders(prefix: int, similarity: float) -> list[np.ndarray]:
@@ -351,14 +363,15 @@ def wide_pairs(classes: DataFrame, similarity: float = 0.8) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     dealt = classes.mapInArrow(spread, "trie int, head long, word long, node long, fp binary")
-    # by ranges, so that a family of very many rows is cut into subtries of several tasks; each boundary parts one family
+    # by ranges, so that a family of very many rows is cut into subtries of several tasks; what a boundary parts meets in
+    # another trie or in the exact join
     return dealt.repartitionByRange("trie", "head", "word").mapInArrow(join, "a long, b long").distinct()
 
 
 def similar_pairs(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
     """Of pairs (a, b) of ids, those whose sets of shingles have this Jaccard similarity at least."""
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    docs = df.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(asked, "node")
+    asked = scratch.materialize(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "asked")
+    docs = df.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(scratch.few(asked), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -366,6 +379,7 @@ def similar_pairs(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, w
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
     sets = scratch.materialize(docs.select("node", "text").mapInArrow(run, "node long, shingles array<long>"), "shingle-sets")
+    asked.drop()
     one, two = (sets.df.select(F.col("node").alias(n), F.col("shingles").alias(f"s{n}")) for n in ("a", "b"))
     shared = F.size(F.array_intersect("sa", "sb"))
     overlap = shared / F.greatest(F.size("sa") + F.size("sb") - shared, F.lit(1))
@@ -429,11 +443,12 @@ def _reach(size: np.ndarray, at: np.ndarray, similarity: float) -> np.ndarray:
     return np.floor((size - at) / share - size + 1e-6)
 
 
-def _cross(node: np.ndarray, size: np.ndarray, at: np.ndarray, component: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _cross(node: np.ndarray, size: np.ndarray, at: np.ndarray, component: np.ndarray, sketch: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows that share a shingle to pairs of nodes of two components that may be similar.  Rows of the largest component
-    are not held against each other; each other row meets the range of sizes that it can be similar to."""
+    are not held against each other; each other row meets the range of sizes that it can be similar to.  Sets that are
+    similar differ in a limited part of their elements, and so do their sketches."""
     order = np.argsort(size, kind="stable")
-    node, size, at, component = node[order], size[order], at[order], component[order]
+    node, size, at, component, sketch = node[order], size[order], at[order], component[order], sketch[order]
     reach = _reach(size, at, similarity)
     names, counts = np.unique(component, return_counts=True)
     others = np.flatnonzero(component != names[np.argmax(counts)])
@@ -450,13 +465,19 @@ def _cross(node: np.ndarray, size: np.ndarray, at: np.ndarray, component: np.nda
         x = np.repeat(others[start:stop], own)
         y = np.repeat(lo[start:stop] - np.cumsum(own) + own, own) + np.arange(own.sum())
         keep = (component[x] != component[y]) & (reach[y] >= size[x]) & ~(is_other[y] & (y < x))
+        x, y = x[keep], y[keep]
+        differ = np.zeros(len(x), np.int64)
+        for word in sketch.T:
+            differ += np.bitwise_count(word[x] ^ word[y])
+        keep = differ <= np.floor((size[x] + size[y]) * (1 - similarity) / (1 + similarity) + 1e-6)
         yield np.minimum(node[x[keep]], node[y[keep]]), np.maximum(node[x[keep]], node[y[keep]])
         start = stop
 
 
 def crossing_pairs(classes: DataFrame, components: DataFrame, similarity: float) -> DataFrame:
-    """classes (node, size, prefix), components (vertex, component).  All pairs (a, b) of nodes of two components that may
-    be similar enough.  A shingle's rows (28 bytes each) meet in one task; shingles of one component only are left out."""
+    """classes (node, size, sketch, prefix), components (vertex, component).  All pairs (a, b) of nodes of two components
+    that may be similar enough.  A shingle's rows (some 160 bytes each) meet in one task; shingles of one component only
+    are left out."""
     named = classes.join(components, F.col("node") == F.col("vertex"), "left").select("node", "size", "prefix", F.coalesce("component", "node").alias("component"))
     rows = named.select("node", F.col("size").cast("int").alias("size"), "component", F.posexplode("prefix").alias("at", "shingle"))
     met = scratch.materialize(
@@ -467,13 +488,15 @@ def crossing_pairs(classes: DataFrame, components: DataFrame, similarity: float)
         now, parts = None, []
 
         def close() -> Iterator[pa.RecordBatch]:
-            columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-            for a, b in _cross(*columns, similarity):
+            *columns, sketches = zip(*parts, strict=True)
+            sketch = np.frombuffer(b"".join(x for part in sketches for x in part.to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
+            for a, b in _cross(*map(np.concatenate, columns), sketch, similarity):
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
-            shingle, *columns = (c.to_numpy() for c in batch.columns)
+            shingle, *columns = (c.to_numpy() for c in batch.columns[:-1])
+            columns.append(batch.column(5))
             cuts = np.flatnonzero(np.diff(shingle)) + 1
             for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(shingle)], strict=True):
                 if shingle[lo] != now:
@@ -484,21 +507,36 @@ def crossing_pairs(classes: DataFrame, components: DataFrame, similarity: float)
         if parts:
             yield from close()
 
-    kept = rows.join(met.df, "shingle").select("shingle", "node", "size", "at", "component")
+    sketches = classes.select(F.col("node").alias("vertex"), "sketch")
+    kept = rows.join(met.df, "shingle").join(sketches, F.col("node") == F.col("vertex")).select("shingle", "node", "size", "at", "component", "sketch")
     return kept.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(run, "a long, b long").distinct()
 
 
+def sharing_enough(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs (a, b), those whose prefixes share enough.  Of the set whose prefix ends first, all that is shared is among
+    the shared ones of the prefixes or comes after its own; so prefixes, a fifth of the sets, rule out most pairs of long
+    texts before whole sets are moved."""
+    asked = scratch.materialize(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "asked")
+    rows = classes.select("node", "size", "prefix").join(scratch.few(asked), "node")
+    own = scratch.materialize(rows, "asked-prefixes").df
+    one, two = (own.select(F.col("node").alias(n), F.col("size").alias(f"n{n}"), F.col("prefix").alias(f"p{n}")) for n in ("a", "b"))
+    most = F.size(F.array_intersect("pa", "pb")) + F.greatest(*(F.ceil(similarity * F.col(n) - 1e-9) - 1 for n in ("na", "nb")))
+    enough = most >= similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-9
+    return pairs.join(one, "a").join(two, "b").where(enough).select("a", "b")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, component) of the documents that are near duplicates of one with a smaller id, which is the component."""
     common = common_shingles(df, id_col, text_col, words)
     marked = scratch.materialize(wide_fingerprints(df, id_col, text_col, words, common, similarity), "wide-fingerprints")
-    firsts = marked.df.groupBy("key").agg(F.min("id").alias("node"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    firsts = marked.df.groupBy("key").agg(F.min("id").alias("node"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
     classes = scratch.materialize(firsts, "wide-classes")
     pairs = scratch.materialize(wide_pairs(classes.df.select("node", "fp"), similarity), "wide-pairs")
     close = scratch.materialize(similar_pairs(pairs.df, df, id_col, text_col, words, similarity), "close-pairs")
     drawn, _ = connected_components(close.df)
     crossing = scratch.materialize(crossing_pairs(classes.df, drawn, similarity), "crossing-pairs")
-    more = similar_pairs(crossing.df, df, id_col, text_col, words, similarity)
+    likely = scratch.materialize(sharing_enough(crossing.df, classes.df, similarity), "likely-pairs")
+    more = similar_pairs(likely.df, df, id_col, text_col, words, similarity)
     components, _ = connected_components(close.df.union(more))
     named = classes.df.join(components, F.col("node") == F.col("vertex"), "left").select("key", F.coalesce("component", "node").alias("component"))
     return marked.df.select("id", "key").join(named, "key").where("id != component").select("id", "component")
@@ -507,5 +545,5 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``df`` without near duplicates: of each group the document with the smallest id stays.  Rows that share
     an id stay or go together, and rows without an id stay."""
-    gone = near_duplicates(df, id_col, text_col, words, similarity).select(F.col("id").alias(id_col)).distinct()
-    return df.join(gone, id_col, "left_anti").select(*df.columns)
+    gone = scratch.materialize(near_duplicates(df, id_col, text_col, words, similarity).select(F.col("id").alias(id_col)).distinct(), "near-copies")
+    return df.join(scratch.few(gone), id_col, "left_anti").select(*df.columns)
