@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.model import ColumnType, Pattern, Recipe, RecipeMetadata, ValidationReport
+from quarry.model import ColumnType, Recipe, RecipeMetadata, ValidationReport
 from quarry.operators import anchors as anchoring
 from quarry.operators import patterns as patterning
 from quarry.operators import validation
@@ -159,7 +159,3 @@ def validate_pair(spark: SparkSession, original_csv: str, reconstructed_csv: str
         formats = anchoring.random_format_regexes(recipe.patterns)
         anchor_columns = recipe.anchor_columns if anchor_columns is None else anchor_columns
     return compare(a, b, anchor_columns, formats)
-
-
-def formats_of(patterns: list[Pattern]) -> dict[str, str]:
-    return anchoring.random_format_regexes(patterns)

@@ -66,8 +66,9 @@ def write_anchors(df: DataFrame, path: str, codec: str = "zstd", level: int | No
     options = {"zstd": "parquet.compression.codec.zstd.level", "gzip": "zlib.compress.level"}
     try:
         (writer.option(options[codec], level) if level is not None and codec in options else writer).parquet(path)
-    except Exception:
-        if level is None:
+    except Exception as e:
+        # a refused level names itself in the error; anything else, such as a full disk, is an error of the write
+        if level is None or "level" not in str(e).lower():
             raise
         return write_anchors(df, path, codec, None, files)
     return folder_size(df.sparkSession, path)
