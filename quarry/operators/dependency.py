@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.columns import label
 from quarry.model import ColumnProfile, ColumnType, Correlation, FunctionalDependency
+from quarry.operators.jobs import together
 from quarry.operators.profiling import kinds_of
 
 MAX_RATIO = 0.5
@@ -100,6 +102,35 @@ def pearson(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return df.agg(F.array(*out).alias("p")).select(F.inline("p"))
 
 
+def pearson_pvalue(r: float, n: int) -> float:
+    """Two-sided p-value of a correlation of n pairs without association: 1 - r^2 has a beta distribution with the
+    parameters (n - 2) / 2 and 1/2 there.  Its lower tail by the continued fraction of the incomplete beta function."""
+    if n < 3:
+        return 1.0
+    a, b, x = (n - 2) / 2, 0.5, max(0.0, 1 - r * r)
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+
+    def tail(a: float, b: float, x: float) -> float:
+        front = math.exp(a * math.log(x) + b * math.log1p(-x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)) / a
+        tiny = 1e-300
+        value = numerator = 1.0
+        denominator = 0.0
+        # modified Lentz steps; the terms alternate between two forms
+        for i in range(500):
+            m = i // 2
+            term = 1.0 if i == 0 else m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+            denominator = 1 / (1 + term * denominator or tiny)
+            numerator = 1 + term / numerator or tiny
+            value *= numerator * denominator
+            if i and abs(1 - numerator * denominator) < 1e-14:
+                break
+        return front * (value - 1)
+
+    # the fraction converges quickly below the mean; above it, the other tail is taken
+    return tail(a, b, x) if x < (a + 1) / (a + b + 2) else 1 - tail(b, a, 1 - x)
+
+
 def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
     """(col_a, col_b, n, chi2, v): from the cells that occur, as empty ones follow from the margins; a table of two by two
     takes the continuity correction.  Degenerate tables have v 0."""
@@ -150,21 +181,22 @@ def correlations(df: DataFrame, profiles: list[ColumnProfile], threshold: float
     use = [p for p in profiles if not p.is_anchor_candidate and p.n_null < p.n_total]
     numbers = [p.name for p in use if p.column_type == ColumnType.NUMERIC]
     categories = [p.name for p in use if p.column_type in (ColumnType.CATEGORICAL, ColumnType.BOOLEAN)]
-    strength: dict[tuple[str, str], tuple[str, float]] = {}
     pairs = [(a, b) for i, a in enumerate(numbers) for b in numbers[i + 1 :]]
-    if pairs:
-        for r in pearson(df, pairs).collect():
-            if r["n"] >= 3 and r["r"] is not None and r["r"] == r["r"]:
-                strength[r["col_a"], r["col_b"]] = ("pearson", min(abs(r["r"]), 1.0))
     tables = [cramers_v(df, a, b) for i, a in enumerate(categories) for b in categories[i + 1 :]]
-    if tables:
-        for r in reduce(DataFrame.union, tables).collect():
-            strength[r["col_a"], r["col_b"]] = ("cramers_v", r["v"])
-    ratios = [eta_squared(df, c, numbers) for c in categories] if numbers else []
-    if ratios:
-        for r in reduce(DataFrame.union, ratios).collect():
-            if r["large_groups"] >= 2:
-                strength[r["number"], r["category"]] = ("anova", min(r["eta2"], 1.0))
+    linear, tabled, *ratios = together(
+        lambda: pearson(df, pairs).collect() if pairs else [],
+        lambda: reduce(DataFrame.union, tables).collect() if tables else [],
+        *(eta_squared(df, c, numbers).collect for c in categories if numbers),
+    )
+    strength: dict[tuple[str, str], tuple[str, float, float | None]] = {}
+    for r in linear:
+        if r["n"] >= 3 and r["r"] is not None and r["r"] == r["r"]:
+            strength[r["col_a"], r["col_b"]] = ("pearson", min(abs(r["r"]), 1.0), pearson_pvalue(r["r"], r["n"]))
+    for r in tabled:
+        strength[r["col_a"], r["col_b"]] = ("cramers_v", r["v"], None)
+    for r in (r for found in ratios for r in found):
+        if r["large_groups"] >= 2:
+            strength[r["number"], r["category"]] = ("anova", min(r["eta2"], 1.0), None)
     out = []
     names = [p.name for p in use]
     for i, a in enumerate(names):

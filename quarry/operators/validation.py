@@ -13,6 +13,7 @@ from quarry.functions.columns import label, parsed_timestamp, seconds
 from quarry.model import TestResult, ValidationReport
 from quarry.operators.counting import running_counts
 from quarry.operators.dependency import cramers_v, eta_squared, pearson
+from quarry.operators.jobs import together
 from quarry.operators.profiling import kinds_of, moments, text_ratios
 from quarry.sources.tables import ROW_ID
 
@@ -63,7 +64,7 @@ def as_number(df: DataFrame, column: str, kind: str) -> Column:
 
 
 def row_count(a: DataFrame, b: DataFrame) -> TestResult:
-    n, m = a.count(), b.count()
+    n, m = together(a.count, b.count)
     return TestResult("row_count", n == m, float(m), float(n), details=f"{n} and {m} rows")
 
 
@@ -191,7 +192,7 @@ def format_compliance(df: DataFrame, column: str, regex: str) -> DataFrame:
 
 def format_tests(a: DataFrame, b: DataFrame, column: str, regex: str) -> list[TestResult]:
     try:
-        x, y = (format_compliance(df, column, regex).first() for df in (a, b))
+        x, y = together(*(format_compliance(df, column, regex).first for df in (a, b)))
     except Exception as e:
         # the pattern is part of the recipe and may not compile; other errors say nothing about the data
         if "pattern" not in str(e).lower():
@@ -211,26 +212,22 @@ def pair_strengths(df: DataFrame, kinds: dict[str, str], pairs: list[tuple[str,
     """Pearson (absolute), Cramér's V or the correlation ratio of each pair; dates count as numbers."""
     numbers = {c for c, k in kinds.items() if k in ("numeric", "datetime")}
     wide = df.select(*(as_number(df, c, k).alias(c) if c in numbers else F.col(c) for c, k in kinds.items()))
-    out: dict[tuple[str, str], float] = {}
     both = [p for p in pairs if set(p) <= numbers]
-    if both:
-        for r in pearson(wide, both).collect():
-            out[r["col_a"], r["col_b"]] = abs(r["r"]) if r["n"] >= 2 and r["r"] is not None and r["r"] == r["r"] else 0.0
     tables = [cramers_v(wide, a, b) for a, b in pairs if a not in numbers and b not in numbers]
-    if tables:
-        for r in reduce(DataFrame.union, tables).collect():
-            out[r["col_a"], r["col_b"]] = r["v"]
     mixed = [p for p in pairs if len(numbers & set(p)) == 1]
     by_category: dict[str, list[str]] = {}
     for a, b in mixed:
         c, x = (a, b) if b in numbers else (b, a)
         by_category.setdefault(c, []).append(x)
-    if by_category:
-        found = reduce(DataFrame.union, (eta_squared(wide, c, xs) for c, xs in by_category.items())).collect()
-        ratio = {(r["category"], r["number"]): (r["eta2"] if r["large_groups"] >= 2 else 0.0) for r in found}
-        for a, b in mixed:
-            out[a, b] = ratio[(a, b) if b in numbers else (b, a)]
-    return out
+    linear, tabled, *ratios = together(
+        lambda: pearson(wide, both).collect() if both else [],
+        lambda: reduce(DataFrame.union, tables).collect() if tables else [],
+        *(eta_squared(wide, c, xs).collect for c, xs in by_category.items()),
+    )
+    out = {(r["col_a"], r["col_b"]): abs(r["r"]) if r["n"] >= 2 and r["r"] is not None and r["r"] == r["r"] else 0.0 for r in linear}
+    out |= {(r["col_a"], r["col_b"]): r["v"] for r in tabled}
+    ratio = {(r["category"], r["number"]): (r["eta2"] if r["large_groups"] >= 2 else 0.0) for found in ratios for r in found}
+    return out | {(a, b): ratio[(a, b) if b in numbers else (b, a)] for a, b in mixed}
 
 
 def strongest_pairs(strengths: dict[tuple[str, str], float], least: float, k: int) -> list[tuple[str, str]]:
@@ -260,42 +257,51 @@ def report(structural: list[TestResult], statistical: list[TestResult]) -> Valid
     return ValidationReport(score(structural, statistical), passed, len(every) - passed, structural, statistical)
 
 
+def numeric_tests(a: DataFrame, b: DataFrame, numbers: dict[str, str], t: Thresholds) -> list[TestResult]:
+    """Distances of the distributions of numbers and dates, and of the means of numbers."""
+    if not numbers:
+        return []
+    as_numbers = [df.select(*(as_number(df, c, k).alias(c) for c, k in numbers.items())) for df in (a, b)]
+    found = together(two_sample_distances(both_sides(a, b, numbers)).collect, *(moments(df, list(numbers)).collect for df in as_numbers))
+    distances, x, y = ({r["column"]: r for r in rows} for rows in found)
+    out = []
+    for c, k in numbers.items():
+        d = distances.get(c)
+        out.append(ks_test(c, *((d["n0"], d["n1"], d["d"]) if d else (0, 0, None)), x[c]["skewness"] or 0.0, t))
+        if k == "numeric":
+            out.append(mean_test(c, x[c]["mean"], y[c]["mean"], t.mean_tolerance))
+    return out
+
+
+def pair_tests(a: DataFrame, b: DataFrame, kinds: dict[str, str], pairs: list[tuple[str, str]], t: Thresholds) -> list[TestResult]:
+    """The strongest associations of the first table, held against the second."""
+    if len(pairs) <= t.max_pairs:
+        strengths, again = together(*(lambda df=df: pair_strengths(df, kinds, pairs) if pairs else {} for df in (a, b)))
+        chosen = strongest_pairs(strengths, t.min_correlation, t.max_pairs)
+    else:
+        strengths = pair_strengths(a, kinds, pairs)
+        chosen = strongest_pairs(strengths, t.min_correlation, t.max_pairs)
+        again = pair_strengths(b, kinds, chosen) if chosen else {}
+    return [correlation_test(p, strengths[p], again[p], t) for p in chosen]
+
+
 def validate(a: DataFrame, b: DataFrame, anchors: list[str] | None = None, thresholds: Thresholds | None = None, formats: dict[str, str] | None = None) -> ValidationReport:
     """The whole comparison.  Anchors are compared row by row, by ``__row_id``; without equal row counts there are no
     statistical tests.  Both tables are read several times: cache them."""
     t, formats = thresholds or Thresholds(), formats or {}
-    structural = [row_count(a, b), schema_match(a, b)]
     exact = [c for c in anchors or [] if c not in formats]
-    if exact:
-        structural += anchors_exact(a, b, exact)
+    counted, compared, found_kinds = together(lambda: row_count(a, b), lambda: anchors_exact(a, b, exact) if exact else [], lambda: comparison_kinds(a, t.datetime_share))
+    structural = [counted, schema_match(a, b), *compared]
     if not structural[0].passed:
         return report(structural, [])
-    kinds = {c: k for c, k in comparison_kinds(a, t.datetime_share).items() if c in b.columns and c not in (anchors or []) and c not in formats and k != "other"}
-    numbers = {c: k for c, k in kinds.items() if k != "categorical"}
-    statistical: list[TestResult] = []
-    if numbers:
-        distances = {r["column"]: r for r in two_sample_distances(both_sides(a, b, numbers)).collect()}
-        as_numbers = [df.select(*(as_number(df, c, k).alias(c) for c, k in numbers.items())) for df in (a, b)]
-        x, y = ({r["column"]: r for r in moments(df, list(numbers)).collect()} for df in as_numbers)
-        for c, k in numbers.items():
-            d = distances.get(c)
-            statistical.append(ks_test(c, *((d["n0"], d["n1"], d["d"]) if d else (0, 0, None)), x[c]["skewness"] or 0.0, t))
-            if k == "numeric":
-                statistical.append(mean_test(c, x[c]["mean"], y[c]["mean"], t.mean_tolerance))
-    drifts = [frequency_drift(a, b, c) for c, k in kinds.items() if k == "categorical"]
-    if drifts:
-        statistical += [frequency_test(r, t.frequency_tolerance) for r in reduce(DataFrame.union, drifts).collect()]
-    for c, regex in formats.items():
-        if c in a.columns and c in b.columns:
-            statistical += format_tests(a, b, c, regex)
-    names = list(kinds)
+    kinds = {c: k for c, k in found_kinds.items() if c in b.columns and c not in (anchors or []) and c not in formats and k != "other"}
+    names, regexes = list(kinds), {c: regex for c, regex in formats.items() if c in a.columns and c in b.columns}
     pairs = [(p, q) for i, p in enumerate(names) for q in names[i + 1 :]]
-    if pairs:
-        strengths = pair_strengths(a, kinds, pairs)
-        chosen = strongest_pairs(strengths, t.min_correlation, t.max_pairs)
-        again = pair_strengths(b, kinds, chosen) if chosen else {}
-        statistical += [correlation_test(p, strengths[p], again[p], t) for p in chosen]
-    return report(structural, statistical)
+    parts = [lambda: numeric_tests(a, b, {c: k for c, k in kinds.items() if k != "categorical"}, t)]
+    parts += [lambda c=c: [frequency_test(frequency_drift(a, b, c).first(), t.frequency_tolerance)] for c, k in kinds.items() if k == "categorical"]
+    parts += [lambda c=c, regex=regex: format_tests(a, b, c, regex) for c, regex in regexes.items()]
+    parts.append(lambda: pair_tests(a, b, kinds, pairs, t))
+    return report(structural, [test for tests in together(*parts) for test in tests])
 
 
 def report_text(r: ValidationReport, rows: int = 20) -> str:

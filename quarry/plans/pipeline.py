@@ -13,6 +13,7 @@ from quarry.model import ColumnType, Recipe, RecipeMetadata, ValidationReport
 from quarry.operators import anchors as anchoring
 from quarry.operators import patterns as patterning
 from quarry.operators import validation
+from quarry.operators.jobs import together
 from quarry.operators.profiling import profile
 from quarry.operators.reconstruct import reconstruct
 from quarry.sources import html, recipes, tables
@@ -137,7 +138,7 @@ def decompress(spark: SparkSession, recipe_path: str, output_csv: str, anchors_p
 
 def compare(a: DataFrame, b: DataFrame, anchor_columns: list[str] | None = None, formats: dict[str, str] | None = None, thresholds: validation.Thresholds | None = None) -> ValidationBundle:
     began = time.perf_counter()
-    a, b = tables.with_row_id(a).cache(), tables.with_row_id(b).cache()
+    a, b = together(lambda: tables.with_row_id(a).cache(), lambda: tables.with_row_id(b).cache())
     names = anchoring.unique_columns(a) if anchor_columns is None else anchor_columns
     names = [c for c in anchoring.for_validation(names, a.columns) if c != tables.ROW_ID]
     report = validation.validate(a, b, names, thresholds, formats)

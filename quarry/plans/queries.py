@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quarry.functions import random
 from quarry.operators import anchors, conditional, counting, dependency, fitting, formats, patterns, profiling, validation
 from quarry.operators import reconstruct as rebuilding
+from quarry.sources import tables
 from quarry.sources.tables import ROW_ID
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -431,9 +432,10 @@ def anchor_extract(spark, sf_dir):
     return anchors.extract(df, ["s_suppkey", "s_name"], [])[0]
 
 
-@query("SELECT CAST(sum(strlen(s_suppkey || ',' || s_name) + 1) AS BIGINT) AS csv_bytes FROM supplier")
+@query("SELECT CAST(sum(strlen(s_suppkey || ',' || s_name) + 1) + strlen('s_suppkey,s_name') + 1 AS BIGINT) AS csv_bytes, true AS packed FROM supplier")
 def anchor_csv_bytes(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").agg(F.sum(F.octet_length(F.to_csv(F.struct("s_suppkey", "s_name"))) + 1).alias("csv_bytes"))
+    found = tables.anchor_savings(table(spark, sf_dir, "supplier"), ["s_suppkey", "s_name"], 1 << 20, tables.working_folder(spark, "savings"))
+    return spark.createDataFrame([(found["anchor_csv_bytes"], found["anchor_parquet_bytes"] > 0)], "csv_bytes long, packed boolean")
 
 
 @query(
@@ -683,13 +685,219 @@ def val_pair_strengths(spark, sf_dir):
     return rounded(spark.createDataFrame([(a, b, s) for (a, b), s in found.items()], "col_a string, col_b string, strength double"), 8, "strength")
 
 
-@query("SELECT 66.67::DOUBLE AS score, 7::BIGINT AS passed, 5::BIGINT AS failed")
+@query(
+    f"""WITH t AS (SELECT a.o_totalprice AS x, b.o_totalprice AS y, a.o_orderstatus AS s, b.o_orderstatus AS u FROM orders a JOIN {CHANGED_SQL} b ON a.o_orderkey = b.o_orderkey),
+r AS (SELECT (SELECT count(*) FROM orders) = (SELECT count(*) FROM {CHANGED_SQL}) AS rows, count(*) FILTER (abs(x - y) > 1e-8 + 1e-5 * abs(y)) = 0 AS price, count(*) FILTER (s <> u) = 0 AS status,
+abs(avg(y) - avg(x)) / abs(avg(x)) <= 0.02 AS mean, (SELECT max(abs(coalesce(p, 0) - coalesce(q, 0))) <= 0.03 AND count(p) = count(*) AND count(q) = count(*)
+FROM (SELECT s AS v, count(*) / (SELECT count(*) FROM t) AS p FROM t GROUP BY s) FULL JOIN (SELECT u AS v, count(*) / (SELECT count(*) FROM t) AS q FROM t GROUP BY u) USING (v)) AS shares FROM t)
+SELECT round(100.0 * (2 * (CAST(rows AS INT) + CAST(price AS INT) + CAST(status AS INT)) + CAST(mean AS INT) + CAST(shares AS INT)) / 8, 2)::DOUBLE AS score,
+CAST(rows AS BIGINT) + CAST(price AS INT) + CAST(status AS INT) + CAST(mean AS INT) + CAST(shares AS INT) AS passed FROM r"""
+)
 def val_score(spark, sf_dir):
-    """Three structural tests pass and weigh two each, four of nine statistical ones pass: 10 of 15."""
-    from quarry.model import TestResult
+    a, b = pair(spark, sf_dir)
+    structural = [validation.row_count(a, b), *validation.anchors_exact(a, b, ["o_totalprice", "o_orderstatus"])]
+    x, y = (profiling.moments(df, ["o_totalprice"]).first()["mean"] for df in (a, b))
+    t = validation.Thresholds()
+    statistical = [validation.mean_test("o_totalprice", x, y, t.mean_tolerance), validation.frequency_test(validation.frequency_drift(a, b, "o_orderstatus").first(), t.frequency_tolerance)]
+    r = validation.report(structural, statistical)
+    return spark.createDataFrame([(r.overall_score, r.passed_count)], "score double, passed long")
+
+
+SCHEMAS = [("orders", "orders"), ("orders", "customer"), ("nation", "region")]
+
+
+@query(
+    all_of(
+        "SELECT '{0}' AS a, '{1}' AS b, count(*) FILTER (x.column_name IS NULL OR y.column_name IS NULL) = 0 AS passed FROM (DESCRIBE {0}) x FULL JOIN (DESCRIBE {1}) y ON x.column_name = y.column_name",
+        SCHEMAS,
+    )
+)
+def val_schema(spark, sf_dir):
+    found = [(a, b, validation.schema_match(table(spark, sf_dir, a), table(spark, sf_dir, b)).passed) for a, b in SCHEMAS]
+    return spark.createDataFrame(found, "a string, b string, passed boolean")
+
+
+# lineitem with prices that rise by a tenth for every seventh order
+RISEN_SQL = "(SELECT l_quantity, CASE WHEN l_orderkey % 7 = 0 THEN l_extendedprice * 1.1 ELSE l_extendedprice END AS l_extendedprice FROM lineitem)"
+
+
+def risen(spark, sf_dir):
+    a = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice")
+    return a, a.withColumn("l_extendedprice", F.when(F.col("l_orderkey") % 7 == 0, F.col("l_extendedprice") * 1.1).otherwise(F.col("l_extendedprice")))
+
+
+@query(
+    f"""WITH v AS (SELECT l_extendedprice AS v, 1 AS a, 0 AS b FROM lineitem UNION ALL SELECT l_extendedprice, 0, 1 FROM {RISEN_SQL}), c AS (SELECT v, sum(a) AS a, sum(b) AS b FROM v GROUP BY v),
+r AS (SELECT sum(a) OVER (ORDER BY v) AS ua, sum(b) OVER (ORDER BY v) AS ub, sum(a) OVER () AS ta, sum(b) OVER () AS tb FROM c), d AS (SELECT max(abs(ua / ta - ub / tb)) AS d, max(ta) / 2 AS m FROM r)
+SELECT round(d, 9) AS distance, d <= 0.05 AS passed, round(least(1, greatest(0, (SELECT 2 * sum(CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2 * k * k * m * d * d)) FROM range(1, 101) t(k)))), 9)::DOUBLE AS p_value FROM d"""
+)
+def val_ks_test(spark, sf_dir):
+    """The decision by distance, and the p-value of its asymptotic series (both tables have over 2,000 rows)."""
+    r = validation.two_sample_distances(validation.both_sides(*risen(spark, sf_dir), {"l_extendedprice": "numeric"})).first()
+    t = validation.ks_test("l_extendedprice", r["n0"], r["n1"], r["d"], 0.0, validation.Thresholds())
+    out = spark.createDataFrame([(t.metric, t.passed, validation.ks_pvalue(r["d"], r["n0"], r["n1"]))], "distance double, passed boolean, p_value double")
+    return rounded(out, 9, "distance", "p_value")
+
+
+@query(
+    f"""SELECT CASE WHEN abs(x) < 0.1 THEN NULL ELSE round(abs(abs(x) - abs(y)), 8) END AS metric, abs(x) < 0.1 OR abs(abs(x) - abs(y)) <= 0.05 AS passed
+FROM (SELECT corr(l_quantity, l_extendedprice) AS x FROM lineitem) CROSS JOIN (SELECT corr(l_quantity, l_extendedprice) AS y FROM {RISEN_SQL})"""
+)
+def val_correlation_preserved(spark, sf_dir):
+    chosen, kinds = ("l_quantity", "l_extendedprice"), {"l_quantity": "numeric", "l_extendedprice": "numeric"}
+    x, y = (validation.pair_strengths(df, kinds, [chosen])[chosen] for df in risen(spark, sf_dir))
+    t = validation.correlation_test(chosen, x, y, validation.Thresholds())
+    return rounded(spark.createDataFrame([(t.metric, t.passed)], "metric double, passed boolean"), 8, "metric")
+
+
+@query(
+    "WITH s AS ("
+    + all_of("SELECT '{0}' AS col_a, '{1}' AS col_b, abs(corr({0}, {1})) AS s FROM lineitem", PAIRS)
+    + ") SELECT col_a, col_b, row_number() OVER (ORDER BY s DESC) AS rank FROM s QUALIFY row_number() OVER (ORDER BY s DESC) <= 3"
+)
+def val_top_pairs(spark, sf_dir):
+    found = validation.pair_strengths(table(spark, sf_dir, "lineitem"), dict.fromkeys(MEASURES, "numeric"), PAIRS)
+    return spark.createDataFrame([(*p, i) for i, p in enumerate(validation.strongest_pairs(found, 0.0, 3), 1)], "col_a string, col_b string, rank long")
+
+
+MIXED_TEXT_SQL = "CASE o_orderkey % 4 WHEN 0 THEN CAST(o_orderkey AS VARCHAR) WHEN 1 THEN 'n' || o_orderkey WHEN 2 THEN '' ELSE '-' || o_orderkey || '.5' END"
+
+
+@query(f"SELECT o_orderkey, TRY_CAST({MIXED_TEXT_SQL} AS DOUBLE) AS v FROM orders")
+def coerced_numbers(spark, sf_dir):
+    k = F.col("o_orderkey").cast("string")
+    rest = F.col("o_orderkey") % 4
+    text = F.when(rest == 0, k).when(rest == 1, F.concat(F.lit("n"), k)).when(rest == 2, "").otherwise(F.concat(F.lit("-"), k, F.lit(".5")))
+    df = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("t"))
+    return df.select("o_orderkey", validation.as_number(df, "t", "numeric").alias("v"))
+
+
+# --- tables in and out, whole profiles, and round trips through files ----------------------------------------------
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
+def csv_round_trip(spark, sf_dir):
+    folder = tables.working_folder(spark, "csv")
+    df = table(spark, sf_dir, "supplier").select(*COLUMNS["supplier"])
+    tables.write_csv(df.withColumn(ROW_ID, F.col("s_suppkey")), folder)
+    return tables.read_csv(spark, folder).select(*(F.col(f.name).cast(f.dataType) for f in df.schema))
+
+
+@query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def anchors_round_trip(spark, sf_dir):
+    folder = tables.working_folder(spark, "anchors")
+    tables.write_anchors(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal"), folder, "zstd", 19)
+    return tables.read_anchors(spark, folder)
 
-    r = validation.report([TestResult(f"s{i}", True) for i in range(3)], [TestResult(f"t{i}", i < 4) for i in range(9)])
-    return spark.createDataFrame([(r.overall_score, r.passed_count, r.failed_count)], "score double, passed long, failed long")
+
+def profile_sql(name: str, numbers: list[str]) -> str:
+    """Type, counts, and mean and median of the numeric columns, of a table's profile."""
+    return "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS col, CASE WHEN typeof(any_value({c})) IN ('BIGINT', 'INTEGER', 'DOUBLE') THEN 'numeric' WHEN typeof(any_value({c})) LIKE 'TIMESTAMP%' THEN 'datetime'"
+        f" WHEN count(DISTINCT {c}) / count(*) < 0.05 THEN 'categorical' ELSE 'string' END AS column_type, count(*) AS n_total, count(*) - count({c}) AS n_null, count(DISTINCT {c}) AS n_unique,"
+        f" count(DISTINCT {c}) = count(*) AS is_anchor, "
+        + (f"round(avg({c}), 4) AS mean, round(quantile_cont({c}, 0.5), 4)" if c in numbers else "CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE)")
+        + f" AS median FROM {name}"
+        for c in COLUMNS[name]
+    )
+
+
+def profile_rows(spark, profiles):
+    rows = []
+    for p in profiles:
+        mean, median = (p.numeric_stats.mean, p.numeric_stats.q50) if p.numeric_stats else (None, None)
+        rows.append((p.name, p.column_type.value, p.n_total, p.n_null, p.n_unique, p.is_anchor_candidate, mean, median))
+    out = spark.createDataFrame(rows, "col string, column_type string, n_total long, n_null long, n_unique long, is_anchor boolean, mean double, median double")
+    return rounded(out, 4, "mean", "median")
+
+
+@query(profile_sql("orders", ["o_orderkey", "o_custkey", "o_totalprice"]))
+def profile_table(spark, sf_dir):
+    return profile_rows(spark, profiling.profile(table(spark, sf_dir, "orders").select(*COLUMNS["orders"])))
+
+
+@query(profile_sql("supplier", ["s_suppkey", "s_nationkey", "s_acctbal"]))
+def recipe_round_trip(spark, sf_dir):
+    """A recipe of supplier, rendered as Markdown and parsed again."""
+    from quarry.model import Pattern, Recipe, RecipeMetadata
+    from quarry.sources import recipes
+
+    profiles = profiling.profile(table(spark, sf_dir, "supplier").select(*COLUMNS["supplier"]))
+    rules = [Pattern(p.name, "anchor_direct") for p in profiles]
+    text = recipes.render(Recipe(RecipeMetadata("supplier", profiles[0].n_total, 0, 0), profiles, [p.name for p in profiles], "anchors.parquet", rules))
+    return profile_rows(spark, recipes.parse(text).schema_columns)
+
+
+@query(f"SELECT c_custkey, {MAIL_SQL} AS email, c_nationkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def files_round_trip(spark, sf_dir):
+    """Compressed to a recipe and anchors, and rebuilt from the files: split addresses, and names by their keys."""
+    from quarry.plans import pipeline
+
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    df = mails(spark, sf_dir).join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey").join(nation, "c_nationkey")
+    folder = tables.working_folder(spark, "files").removeprefix("file:")
+    made = pipeline.compress_table(df.select("c_custkey", "email", "c_nationkey", "n_name"), folder, "mails", 1 << 20, manual_anchors=["c_nationkey"])
+    return pipeline.rebuild(spark, made.recipe_path).select("c_custkey", "email", "c_nationkey", "n_name")
+
+
+LINKED = [*MEASURES, "l_returnflag", "l_linestatus"]
+FLAGS = ["l_returnflag", "l_linestatus"]
+
+
+@query(
+    "SELECT * FROM ("
+    + all_of("SELECT '{0}' AS col_a, '{1}' AS col_b, 'pearson' AS kind, round(abs(corr({0}, {1})), 8) AS strength FROM lineitem", PAIRS)
+    + f"\nUNION ALL SELECT col_a, col_b, 'cramers_v', round(v, 8) FROM ({cramers_sql('lineitem', 'l_returnflag', 'l_linestatus')})\nUNION ALL\n"
+    + all_of(
+        "SELECT '{0}', '{1}', 'anova', round(1 - sum(n * v) / (SELECT count(*) * var_pop({0}) FROM lineitem), 8) FROM (SELECT count(*) AS n, var_pop({0}) AS v FROM lineitem GROUP BY {1})",
+        [(m, c) for m in MEASURES for c in FLAGS],
+    )
+    + ") WHERE strength >= 0"
+)
+def detect_correlations(spark, sf_dir):
+    from quarry.model import ColumnProfile
+
+    df = table(spark, sf_dir, "lineitem").select(*LINKED)
+    profiles = [ColumnProfile(c, "object", "categorical" if c in FLAGS else "numeric", 1, 1, 0) for c in LINKED]
+    found = dependency.correlations(df, profiles, 0.0)
+    return rounded(spark.createDataFrame([(c.col_a, c.col_b, c.correlation_type, c.strength) for c in found], "col_a string, col_b string, kind string, strength double"), 8, "strength")
+
+
+@query(
+    "SELECT * FROM (SELECT CASE WHEN o_totalprice > 100000 THEN 'True' ELSE 'False' END AS v, count(*) AS n FROM orders GROUP BY 1)"
+)
+def boolean_counts(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select((F.col("o_totalprice") > 100000).alias("big"))
+    return profiling.top_values(profiling.labelled_counts(df)).select("v", "n")
+
+
+@query(all_of("SELECT '{0}' AS col, least(5, count(DISTINCT {0})) AS n, true AS all_there FROM orders", COLUMNS["orders"]))
+def profile_examples(spark, sf_dir):
+    """How many examples each column shows, and that each of them is a value of the column."""
+    counts = profiling.labelled_counts(table(spark, sf_dir, "orders").select(*COLUMNS["orders"]))
+    shown = profiling.examples(counts).select("column", F.explode("values").alias("v"))
+    there = shown.join(counts.select("column", "v", F.lit(True).alias("there")), ["column", "v"], "left")
+    return there.groupBy(F.col("column").alias("col")).agg(F.count(F.lit(1)).alias("n"), F.every(F.coalesce("there", F.lit(False))).alias("all_there"))
+
+
+NAMED = ["documents", "events", "embeddings", "pages", "orders"]
+
+
+@query(all_of("SELECT '{0}' AS tab, column_name AS col, regexp_matches(lower(column_name), '^((.*_)?(id|uuid|uid|pk))$') AS id_like FROM (DESCRIBE {0})", NAMED))
+def id_like_names(spark, sf_dir):
+    rows = [(t, c, formats.looks_like_id(c)) for t in NAMED for c in table(spark, sf_dir, t).columns]
+    return spark.createDataFrame(rows, "tab string, col string, id_like boolean")
+
+
+@query(
+    "SELECT 'hex' AS col, '' AS prefix, '' AS suffix, max(length(v)) AS body_length, 'hex_hash' AS detected_as FROM (SELECT sha256(CAST(o_orderkey AS VARCHAR)) AS v FROM orders) WHERE regexp_matches(v, '^[0-9a-f]{32,128}$')\n"
+    "UNION ALL SELECT 'bcrypt', regexp_extract(max(v), '^(\\$bcrypt\\$\\d+[a-z]?\\$\\d+\\$)', 1), right(max(v), 1), max(length(regexp_extract(v, '\\$([0-9a-f]+)\\$$', 1))), 'bcrypt_hash'"
+    " FROM (SELECT '$bcrypt$2b$12$' || sha256(CAST(o_orderkey AS VARCHAR)) || '$' AS v FROM orders)"
+)
+def random_format_spec(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select(*(e().alias(c) for c, (_, e) in HASHED.items()))
+    rows = [(c, s["prefix"], s["suffix"], s["body_length"], s["detected_as"]) for c, s in formats.random_formats(df, list(HASHED)).items()]
+    return spark.createDataFrame(rows, "col string, prefix string, suffix string, body_length long, detected_as string")
 
 
 # --- whole pipeline ------------------------------------------------------------------------------------------------

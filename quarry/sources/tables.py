@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,6 +15,18 @@ ROW_ID = "__row_id"
 CODECS = ("snappy", "gzip", "zstd", "brotli", "lz4", "none")
 
 
+def working_folder(spark: SparkSession, name: str) -> str:
+    """A new place for intermediate files, in the folder that the cluster shares (``spark.checkpoint.dir``).  Where that
+    is unset, a local master takes a temporary folder, removed when the driver ends."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="quarry-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """A CSV file with a header.  Types are inferred, but for dates and times, which stay text; pass the schema to save
     the pass that infers it."""

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +80,15 @@ def test_direction_goes_to_the_finer_column():
     assert d.strongest_partner("c", found, set(), profiles) is None
     assert d.strongest_partner("a", found, {"c"}, profiles).col_b == "b"
     assert d.strongest_partner("b", found, set(), profiles, relaxed=True) is not None
+
+
+def test_pearson_pvalue():
+    # the density of r without association is (1 - r^2)^((n - 4) / 2), here integrated by small steps
+    for n, r in ((5, 0.3), (10, -0.7), (50, 0.1), (50, 0.9), (400, 0.05), (400, 0.3)):
+        x = np.linspace(0, np.pi / 2, 200_001)
+        # r = sin(x) takes the ends' singularity away
+        density = np.cos(x) ** (n - 3)
+        whole = np.trapezoid(density, x)
+        above = x >= np.arcsin(abs(r))
+        assert d.pearson_pvalue(r, n) == pytest.approx(np.trapezoid(density[above], x[above]) / whole, rel=1e-3, abs=1e-9)
+    assert d.pearson_pvalue(0.0, 10) == 1 and d.pearson_pvalue(1.0, 10) == 0 and d.pearson_pvalue(0.5, 2) == 1

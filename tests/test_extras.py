@@ -2,6 +2,7 @@ import struct
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import json_safe
@@ -51,3 +52,12 @@ def test_null_mask(spark):
     anchors = spark.range(3000).select(F.col("id").alias(ROW_ID))
     assert reconstruct(recipe, anchors).where("x is null").count() == 0
     assert abs(reconstruct(recipe, anchors, nulls=True).where("x is null").count() / 3000 - 0.3) < 0.04
+
+
+def test_jobs_side_by_side(spark):
+    from quarry.operators.jobs import together
+
+    assert together() == [] and together(lambda: 1) == [1]
+    assert together(*(lambda i=i: together(lambda: i, lambda: i + 1) for i in range(20))) == [[i, i + 1] for i in range(20)]
+    with pytest.raises(ZeroDivisionError):
+        together(lambda: 1, lambda: 1 / 0)
