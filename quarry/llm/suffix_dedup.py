@@ -17,10 +17,13 @@ string together.  Neighbouring strings mostly share their anchor, and a maximal
 4. Places with a key of up to ``GROUP`` places are dealt by key with their bytes.  Equal contents are one; different
    contents of a key go into one suffix order with the rest of the task's batch.
 5. Keys with more places are hot, and a suffix order of theirs would not fit one task.  Of equal contents (128-bit hash
-   within the 64-bit key) only one goes on; its strings are told apart by 128 bits of BLAKE2b, counted with partial
-   aggregation, and matched in a join whose large partitions Spark can split.  So a passage that a third of all documents
-   share is never gathered in one task.  Bytes are not compared there: among 10**12 strings, the chance of any two that
-   differ and share a hash is below 10**-14.
+   within the 64-bit key) only one goes on.  Its strings are taken in blocks of ``BLOCK`` by their distance from the
+   anchor.  All strings of a block hold its core, so a block whose core no other content has holds nothing repeated;
+   blocks with equal contents repeat as a whole, and again only one goes on.  What is left, mostly the blocks at the ends
+   of a passage, is told apart string by string.  Cores, blocks and strings are known by 128 bits of BLAKE2b, counted with
+   partial aggregation, and matched in joins whose large partitions Spark can split.  So a passage that a third of all
+   documents share is never gathered in one task.  Bytes are not compared there: among 10**12 strings, the chance of any
+   two that differ and share a hash is below 10**-14.
 6. Intervals are merged by text, and the bytes that remain are the result of every document with that text.
 
 Defined cases: a null text counts as empty; texts shorter than ``width`` have no repeated strings; very long texts are cut
@@ -46,6 +49,8 @@ WIDTH = 200
 GRAM = 32
 #: Places of one key that are compared in one suffix order: with some 400 bytes each they fit ``ORDER_BYTES``.
 GROUP = 4096
+#: Strings of a hot place that are held against other places together; an anchor is in at most 13 * 13 strings.
+BLOCK = 13
 #: Bytes of text whose places are found together; longer texts are cut into overlapping parts.
 PART_BYTES = 1 << 18
 #: Bytes that go into one suffix order.
@@ -202,6 +207,20 @@ def _find_places(texts: list[bytes], width: int) -> Iterator[tuple[np.ndarray, .
         yield which[piece], at - (ends - length)[piece] + offset[piece], count, key, content[:, 0], content[:, 1]
 
 
+def _blocks(text: bytes, start: int, count: int, key: int, width: int) -> Iterator[tuple[int, int, int, int, tuple[int, bytes]]]:
+    """The blocks of a place: two halves of the core's hash, two of the block's, (first string, bytes)."""
+    # the anchor is the leftmost string with the key among those that all strings of the place hold
+    common = np.frombuffer(text, np.uint8, width - count + 1, start + count - 1)
+    anchor = start + count - 1 + int(np.flatnonzero(_gram_hashes(common).view(np.int64) == key)[0])
+    for b in range((anchor - start - count + 1) // BLOCK, (anchor - start) // BLOCK + 1):
+        nearest, farthest = anchor - b * BLOCK, anchor - b * BLOCK - BLOCK + 1
+        first = max(start, farthest)
+        content = text[first : min(start + count - 1, nearest) + width]
+        core = hashlib.blake2b(text[nearest : farthest + width], digest_size=16, salt=b"%d" % b).digest()
+        own = hashlib.blake2b(content, digest_size=16, salt=b"%d %d" % (b, anchor - first)).digest()
+        yield *np.frombuffer(core + own, np.int64).tolist(), (first, content)
+
+
 def _runs(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
     """Sorted starts of strings to the intervals that they cover, one for each row of consecutive starts."""
     if not len(starts):
@@ -353,22 +372,48 @@ def removed_intervals(docs: DataFrame, units: DataFrame, width: int = WIDTH, kee
                 if rows:
                     yield _intervals(rows)
 
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for h1, h2, did, text, own in unpack(batch):
-                at = [s for p in own if p["kind"] in (STRINGS, WHOLE_AND_STRINGS) for s in range(p["start"], p["start"] + p["n"])]
-                if at:
-                    both = np.frombuffer(b"".join(hashlib.blake2b(text[s : s + width], digest_size=16).digest() for s in at), np.int64).reshape(-1, 2)
-                    same = [pa.array(np.full(len(at), x, np.int64)) for x in (did if keep_first else 0, h1, h2)]
-                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), *same, pa.array(at, pa.int32())], names=["b1", "b2", "did", "h1", "h2", "s"])
+                rows = []
+                for p in own:
+                    if p["kind"] in (STRINGS, WHOLE_AND_STRINGS):
+                        rows.extend((*ids, did, h1, h2, *rest) for *ids, rest in _blocks(text, p["start"], p["n"], p["key"], width))
+                if rows:
+                    *longs, s, content = zip(*rows, strict=True)
+                    columns = [*(pa.array(c, pa.int64()) for c in longs), pa.array(s, pa.int32()), pa.array(content, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "b1", "b2", "did", "h1", "h2", "s", "bytes"])
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, rows = [], []
+            for did, h1, h2, s, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for i in range(len(content) - width + 1):
+                    digests.append(hashlib.blake2b(content[i : i + width], digest_size=16).digest())
+                    rows.append((did, h1, h2, s + i))
+            if rows:
+                both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                did, h1, h2, s = (pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (*[pa.int64()] * 3, pa.int32()), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), did, h1, h2, s], names=["b1", "b2", "did", "h1", "h2", "s"])
 
     dealt = with_places.df.mapInArrow(contexts, "key long, did long, h1 long, h2 long, start int, bytes binary").repartition("key").sortWithinPartitions("key")
     parts = [dealt.mapInArrow(_cold(width, keep_first), _INTERVAL)]
     is_hot = F.exists("places", lambda p: p["kind"] != COLD)
     hot_texts = with_places.df.where(is_hot)
     parts.append(hot_texts.select("h1", "h2", "places").mapInArrow(wholes, _INTERVAL))
-    single = scratch.materialize(hot_texts.mapInArrow(strings, "b1 long, b2 long, did long, h1 long, h2 long, s int"), "hot-strings")
+    place = "did long, h1 long, h2 long, s int"
     where = F.struct("did", "h1", "h2", "s")
+    ends = (F.col("s") + F.octet_length("bytes")).alias("e")
+    block = scratch.materialize(hot_texts.mapInArrow(blocks, f"k1 long, k2 long, b1 long, b2 long, {place}, bytes binary"), "hot-blocks")
+    kinds = block.df.groupBy("k1", "k2", "b1", "b2").agg(F.count(F.lit(1)).alias("copies"), F.min(where).alias("first"), F.first("bytes").alias("bytes"))
+    kinds = scratch.materialize(kinds, "hot-block-contents")
+    again = block.df.join(kinds.df.where("copies > 1").select("k1", "k2", "b1", "b2", "first"), ["k1", "k2", "b1", "b2"])
+    if keep_first:
+        again = again.where(where != F.col("first"))
+    parts.append(again.select("h1", "h2", "s", ends))
+    cores = scratch.materialize(kinds.df.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "hot-cores")
+    left = kinds.df.join(cores.df.select("k1", "k2"), ["k1", "k2"]).select("first.*", "bytes")
+    single = scratch.materialize(left.mapInArrow(strings, f"b1 long, b2 long, {place}"), "hot-strings")
     counts = [F.count(F.lit(1)).alias("n"), *([F.min(where).alias("first")] if keep_first else [])]
     counted = scratch.materialize(single.df.groupBy("b1", "b2").agg(*counts).where("n > 1"), "hot-repeated")
     again = single.df.join(counted.df, ["b1", "b2"])
