@@ -36,7 +36,7 @@ columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -230,6 +230,17 @@ def _runs(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
     return list(zip(first.tolist(), (last + width).tolist(), strict=True))
 
 
+def _united(intervals: Iterable[tuple[int, int]]) -> list[list[int]]:
+    """Intervals to the maximal runs that they cover."""
+    runs: list[list[int]] = []
+    for s, e in sorted(intervals):
+        if runs and s <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], e)
+        else:
+            runs.append([s, e])
+    return runs
+
+
 # --- corpus --------------------------------------------------------------------------------------------------------
 
 _INTERVAL = "h1 long, h2 long, s int, e int"
@@ -368,9 +379,9 @@ def removed_intervals(docs: DataFrame, units: DataFrame, width: int = WIDTH, kee
     def wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for h1, h2, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows = [(h1, h2, p["start"], p["start"] + p["n"] - 1 + width) for p in own if p["kind"] in (WHOLE, WHOLE_AND_STRINGS)]
-                if rows:
-                    yield _intervals(rows)
+                runs = _united((p["start"], p["start"] + p["n"] - 1 + width) for p in own if p["kind"] in (WHOLE, WHOLE_AND_STRINGS))
+                if runs:
+                    yield _intervals([(h1, h2, s, e) for s, e in runs])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -433,12 +444,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         removed, spans, kept = [], [], []
         for text, own in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            raw, runs = text.encode(), []
-            for s, e in sorted((i["s"], i["e"]) for i in own):
-                if runs and s <= runs[-1][1]:
-                    runs[-1][1] = max(runs[-1][1], e)
-                else:
-                    runs.append([s, e])
+            raw, runs = text.encode(), _united((i["s"], i["e"]) for i in own)
             at, rest = 0, []
             for s, e in runs:
                 rest.append(raw[at:s])
