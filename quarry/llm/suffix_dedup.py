@@ -14,16 +14,16 @@ string together.  Neighbouring strings mostly share their anchor, and a maximal
    repeats as a whole; what it shares with other texts is found with one of its copies.
 2. Places of all texts, without their bytes, are written once.  Keys with one place hold nothing repeated.
 3. Texts meet the list of their places with repeated keys, and those that have any are written with it.
-4. Places with a key of up to ``GROUP`` places are dealt by key with their bytes.  Equal contents are one; different
-   contents of a key go into one suffix order with the rest of the task's batch.
-5. Keys with more places are hot, and a suffix order of theirs would not fit one task.  Of equal contents (128-bit hash
-   within the 64-bit key) only one goes on.  Its strings are taken in blocks of ``BLOCK`` by their distance from the
-   anchor.  All strings of a block hold its core, so a block whose core no other content has holds nothing repeated;
-   blocks with equal contents repeat as a whole, and again only one goes on.  What is left, mostly the blocks at the ends
-   of a passage, is told apart string by string.  Cores, blocks and strings are known by 128 bits of BLAKE2b, counted with
-   partial aggregation, and matched in joins whose large partitions Spark can split.  So a passage that a third of all
-   documents share is never gathered in one task.  Bytes are not compared there: among 10**12 strings, the chance of any
-   two that differ and share a hash is below 10**-14.
+4. Contents are known by 128 bits of XXH3 within their 64-bit key.  Of equal ones only one goes on with its bytes, and
+   only if its key has others.  Those of keys of up to ``GROUP`` places are dealt by key and go into one suffix order with
+   the rest of the task's batch.
+5. Keys with more places are hot, and a suffix order of theirs would not fit one task.  Their strings are taken in blocks
+   of ``BLOCK`` by their distance from the anchor.  All strings of a block hold its core, so a block whose core no other
+   content has holds nothing repeated; blocks with equal contents repeat as a whole, and again only one goes on.  What is
+   left, mostly the blocks at the ends of a passage, is told apart string by string.  Cores, blocks and strings are known
+   by 128 bits of BLAKE2b, counted with partial aggregation, and matched in joins whose large partitions Spark can split.
+   So a passage that a third of all documents share is never gathered in one task.  Bytes are not compared there: among
+   10**12 strings, the chance of any two that differ and share a hash is below 10**-14.
 6. Intervals are merged by text, and the bytes that remain are the result of every document with that text.
 
 Defined cases: a null text counts as empty; texts shorter than ``width`` have no repeated strings; very long texts are cut
@@ -37,6 +37,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +58,8 @@ PART_BYTES = 1 << 18
 #: Bytes that go into one suffix order.
 ORDER_BYTES = 1 << 21
 
-COLD, WHOLE, WHOLE_AND_STRINGS, STRINGS = range(4)
+#: What becomes of a place, as bits: it goes as a whole; it is compared in a suffix order; it is compared by blocks.
+WHOLE, COLD, HOT = 1, 2, 4
 
 
 # --- suffix order --------------------------------------------------------------------------------------------------
@@ -340,25 +343,25 @@ def removed_intervals(docs: DataFrame, units: DataFrame, width: int = WIDTH, kee
     schema = "h1 long, h2 long, start int, n int, key long, c1 long, c2 long"
     found = scratch.materialize(docs.select("h1", "h2", "text").mapInArrow(find, schema), "places")
     # copies of a text have the same places, so that only keys with two different ones hold something repeated
-    ends = [f(c).alias(f"{name}_{c}") for name, f in (("lo", F.min), ("hi", F.max)) for c in ("h1", "h2", "start")]
-    differ = F.lit(False)
-    for c in ("h1", "h2", "start"):
-        differ |= F.col(f"lo_{c}") != F.col(f"hi_{c}")
+    bounds = [f(c).alias(f"{name}_{c}") for name, f in (("lo", F.min), ("hi", F.max)) for c in ("h1", "h2", "start", "c1", "c2")]
+    differ = lambda *columns: reduce(or_, (F.col(f"lo_{c}") != F.col(f"hi_{c}") for c in columns))
+    keys = found.df.groupBy("key").agg(F.count(F.lit(1)).alias("places"), *bounds).where(differ("h1", "h2", "start"))
     # written by itself, so that both sides of the join are plain shuffles whose hot partitions can be split
-    keys = scratch.materialize(found.df.groupBy("key").agg(F.count(F.lit(1)).alias("places"), *ends).where(differ).select("key", "places"), "repeated-keys")
+    keys = scratch.materialize(keys.select("key", "places", differ("c1", "c2").alias("differ")), "repeated-keys")
     repeated = scratch.materialize(found.df.join(keys.df, "key"), "repeated-places")
     found.drop()
     keys.drop()
-    hot = repeated.df.where(F.col("places") > GROUP)
+    rows = repeated.df
     if keep_first:
-        hot = hot.join(units.select("h1", "h2", "did"), ["h1", "h2"])
+        rows = rows.join(units.select("h1", "h2", "did"), ["h1", "h2"])
     place = F.struct(*(["did"] if keep_first else []), "h1", "h2", "start")
-    first = F.min(place).alias("first")
-    contents = scratch.materialize(hot.groupBy("key", "c1", "c2").agg(F.count(F.lit(1)).alias("copies"), first), "hot-contents")
-    kind = F.when(F.col("copies") == 1, STRINGS).when(place == F.col("first"), STRINGS if keep_first else WHOLE_AND_STRINGS).otherwise(WHOLE)
-    marked = hot.join(contents.df, ["key", "c1", "c2"]).select("h1", "h2", "start", "n", "key", kind.alias("kind"))
-    cold = repeated.df.where(F.col("places") <= GROUP).select("h1", "h2", "start", "n", "key", F.lit(COLD).alias("kind"))
-    lists = cold.union(marked).groupBy("h1", "h2").agg(F.collect_set(F.struct("start", "n", "key", "kind")).alias("places"))
+    one = ["key", "c1", "c2"]
+    contents = scratch.materialize(rows.groupBy(*one).agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("first")), "contents")
+    is_first = place == F.col("first")
+    whole = F.when((F.col("copies") > 1) & ~is_first if keep_first else F.col("copies") > 1, WHOLE).otherwise(0)
+    order = F.when(is_first & F.col("differ"), F.when(F.col("places") > GROUP, HOT).otherwise(COLD)).otherwise(0)
+    marked = rows.join(contents.df, one).select("h1", "h2", "start", "n", "key", (whole + order).alias("kind")).where("kind > 0")
+    lists = marked.groupBy("h1", "h2").agg(F.collect_set(F.struct("start", "n", "key", "kind")).alias("places"))
     texts = docs.groupBy("h1", "h2").agg(F.min("did").alias("did"), F.first("text").alias("text"))
     with_places = scratch.materialize(texts.join(lists, ["h1", "h2"]), "texts-with-places")
     repeated.drop()
@@ -372,14 +375,14 @@ def removed_intervals(docs: DataFrame, units: DataFrame, width: int = WIDTH, kee
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
         for batch in batches:
             for at in range(0, len(batch), 256):
-                rows = [(p["key"], did, h1, h2, p["start"], text[p["start"] : p["start"] + p["n"] - 1 + width]) for h1, h2, did, text, own in unpack(batch.slice(at, 256)) for p in own if p["kind"] == COLD]
+                rows = [(p["key"], did, h1, h2, p["start"], text[p["start"] : p["start"] + p["n"] - 1 + width]) for h1, h2, did, text, own in unpack(batch.slice(at, 256)) for p in own if p["kind"] & COLD]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "did", "h1", "h2", "start", "bytes"])
 
     def wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for h1, h2, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                runs = _united((p["start"], p["start"] + p["n"] - 1 + width) for p in own if p["kind"] in (WHOLE, WHOLE_AND_STRINGS))
+                runs = _united((p["start"], p["start"] + p["n"] - 1 + width) for p in own if p["kind"] & WHOLE)
                 if runs:
                     yield _intervals([(h1, h2, s, e) for s, e in runs])
 
@@ -388,7 +391,7 @@ def removed_intervals(docs: DataFrame, units: DataFrame, width: int = WIDTH, kee
             for h1, h2, did, text, own in unpack(batch):
                 rows = []
                 for p in own:
-                    if p["kind"] in (STRINGS, WHOLE_AND_STRINGS):
+                    if p["kind"] & HOT:
                         rows.extend((*ids, did, h1, h2, *rest) for *ids, rest in _blocks(text, p["start"], p["n"], p["key"], width))
                 if rows:
                     *longs, s, content = zip(*rows, strict=True)
@@ -407,15 +410,16 @@ def removed_intervals(docs: DataFrame, units: DataFrame, width: int = WIDTH, kee
                 did, h1, h2, s = (pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (*[pa.int64()] * 3, pa.int32()), strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), did, h1, h2, s], names=["b1", "b2", "did", "h1", "h2", "s"])
 
-    dealt = with_places.df.mapInArrow(contexts, "key long, did long, h1 long, h2 long, start int, bytes binary").repartition("key").sortWithinPartitions("key")
+    def having(bit: int) -> DataFrame:
+        return with_places.df.where(F.exists("places", lambda p: p["kind"].bitwiseAND(bit) > 0))
+
+    dealt = having(COLD).mapInArrow(contexts, "key long, did long, h1 long, h2 long, start int, bytes binary").repartition("key").sortWithinPartitions("key")
     parts = [dealt.mapInArrow(_cold(width, keep_first), _INTERVAL)]
-    is_hot = F.exists("places", lambda p: p["kind"] != COLD)
-    hot_texts = with_places.df.where(is_hot)
-    parts.append(hot_texts.select("h1", "h2", "places").mapInArrow(wholes, _INTERVAL))
+    parts.append(having(WHOLE).select("h1", "h2", "places").mapInArrow(wholes, _INTERVAL))
     place = "did long, h1 long, h2 long, s int"
     where = F.struct("did", "h1", "h2", "s")
     ends = (F.col("s") + F.octet_length("bytes")).alias("e")
-    block = scratch.materialize(hot_texts.mapInArrow(blocks, f"k1 long, k2 long, b1 long, b2 long, {place}, bytes binary"), "hot-blocks")
+    block = scratch.materialize(having(HOT).mapInArrow(blocks, f"k1 long, k2 long, b1 long, b2 long, {place}, bytes binary"), "hot-blocks")
     kinds = block.df.groupBy("k1", "k2", "b1", "b2").agg(F.count(F.lit(1)).alias("copies"), F.min(where).alias("first"), F.first("bytes").alias("bytes"))
     kinds = scratch.materialize(kinds, "hot-block-contents")
     again = block.df.join(kinds.df.where("copies > 1").select("k1", "k2", "b1", "b2", "first"), ["k1", "k2", "b1", "b2"])
