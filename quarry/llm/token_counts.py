@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -149,14 +150,17 @@ def _sliced(df: DataFrame, text_at: int, kept: list[int], spec, frequent, patter
         counter, known = _counter(spec.value, pattern), frequent.value
         number = TaskContext.get().partitionId() << 33
         vocabulary: dict[str, int] = {}
-        rows, places, amounts, counted, size = [], [], [], [], 0
+        # places and amounts of a slice lie end to end, as a list of numbers per document holds ten times the memory
+        rows, places, amounts, counts, counted, size = [], array("i"), array("i"), array("i"), array("q"), 0
 
         def close() -> Iterator[pa.RecordBatch]:
             nonlocal number, size
             n = len(counted)
             columns = [pa.concat_arrays([r[i] for r in rows]) for i in range(len(kept))]
             none = lambda kind: pa.nulls(n, kind)
-            own = [pa.array(np.full(n, number)), none(pa.int32()), _lists(places), _lists(amounts), none(pa.list_(pa.string())), pa.array(counted, pa.int64())]
+            offsets = pa.array(np.cumsum([0, *counts], dtype=np.int32))
+            packed = [pa.ListArray.from_arrays(offsets, pa.array(np.array(x, np.int32))) for x in (places, amounts)]
+            own = [pa.array(np.full(n, number)), none(pa.int32()), *packed, none(pa.list_(pa.string())), pa.array(np.array(counted, np.int64))]
             yield pa.RecordBatch.from_arrays([*own, *columns], names=schema.names)
             parts: dict[int, list[tuple[str, int]]] = {}
             for pretoken, place in vocabulary.items():
@@ -170,24 +174,25 @@ def _sliced(df: DataFrame, text_at: int, kept: list[int], spec, frequent, patter
                 yield pa.RecordBatch.from_arrays([*own, *(none(c.type) for c in columns)], names=schema.names)
             number += 1
             size = 0
-            for x in (vocabulary, rows, places, amounts, counted):
-                x.clear()
+            vocabulary.clear()
+            rows.clear()
+            for x in (places, amounts, counts, counted):
+                del x[:]
 
         for batch in batches:
             done = 0
             for i, text in enumerate(batch.column(text_at)):
                 text = text.as_py() or ""
                 total, found = counter.frequencies(text)
-                at, many = [], []
+                before = len(places)
                 for pretoken, n in found.items():
                     pieces = known.get(pretoken)
                     if pieces is None:
-                        at.append(vocabulary.setdefault(pretoken, len(vocabulary)))
-                        many.append(n)
+                        places.append(vocabulary.setdefault(pretoken, len(vocabulary)))
+                        amounts.append(n)
                     else:
                         total += pieces * n
-                places.append(at)
-                amounts.append(many)
+                counts.append(len(places) - before)
                 counted.append(total)
                 size += len(text)
                 if size >= SLICE_BYTES or i + 1 == len(batch):
